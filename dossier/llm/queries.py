@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import chat_format, mixing, sharding
+from dossier.llm import chat_format, mixing, quality, sharding, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_conversations(conv.unionByName(extra))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    blocks = token_output.write_blocks(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.read_documents(blocks)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign_shards(docs).drop("text")
@@ -35,6 +42,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source", "times")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.score_documents(docs, _table(spark, sf_dir, "labels")).drop("text", "lang", "source")
+
+
 OP1_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -70,8 +82,10 @@ SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op5_token_output": op5_token_output,
         "op7_sharding": op7_sharding,
         "op8_mixing": op8_mixing,
+        "op9_quality": op9_quality,
     }
 
 
