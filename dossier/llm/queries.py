@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import chat_format, lm_score, mixing, quality, sharding, token_output
+from dossier.llm import chat_format, embed_dedup, lm_score, mixing, quality, sharding, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_documents(blocks)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign_shards(docs).drop("text")
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_format": op1_chat_format,
         "op4_lm_score": op4_lm_score,
         "op5_token_output": op5_token_output,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_sharding": op7_sharding,
         "op8_mixing": op8_mixing,
         "op9_quality": op9_quality,
