@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import chat_format, embed_dedup, lm_score, mixing, quality, sharding, token_output
+from dossier.llm import chat_format, embed_dedup, jaccard_join, lm_score, mixing, quality, sharding, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_conversations(conv.unionByName(extra))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -90,6 +94,7 @@ SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes,
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_jaccard_join": op2_jaccard_join,
         "op4_lm_score": op4_lm_score,
         "op5_token_output": op5_token_output,
         "op6_embedding_dedup": op6_embedding_dedup,
