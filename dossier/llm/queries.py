@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import chat_format, decontaminate, embed_dedup, jaccard_join, lm_score, mixing, quality, sharding, token_output
+from dossier.llm import chat_format, decontaminate, embed_dedup, jaccard_join, lm_score, mixing, quality, sharding, suffix_dedup, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -99,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_lm_score": op4_lm_score,
         "op5_token_output": op5_token_output,
         "op6_embedding_dedup": op6_embedding_dedup,
