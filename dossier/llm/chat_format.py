@@ -47,48 +47,45 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     ``messages``: tree, node, parent, role, text, score.  Returns tree, leaf,
     branch (1 = best), pos (0 = root), role, text.
     """
-    base = messages.select(
+    base = durable(messages.select(
         "tree", "node", "parent",
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("score", F.lit(0)).cast("double").alias("score"),
-    )
+    ), "chat-messages")
     ids = base.select("tree", F.col("node").alias("up")).distinct()
     edge = base.select("tree", "node", F.col("parent").alias("up"), "score")
     known = edge.join(
         ids.withColumn("found", F.lit(True)).withColumnRenamed("tree", "t"),
         (edge.tree.eqNullSafe(F.col("t"))) & (edge.up == ids.up), "left",
     ).select(edge.tree, edge.node, F.when(F.col("found"), edge.up).alias("up"), edge.score)
-    step = durable(known.select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "chat-step")
-    levels, limit = [step], None
-    while not step.where("up is not null").isEmpty():
-        if limit is None:
+    moved = durable(known.select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "chat-step")
+    at_root, levels = moved.where("up is null"), []
+    while not (open_ := moved.where("up is not null")).isEmpty():
+        if not levels:
             limit = base.count()
-        if 1 << (len(levels) - 1) > limit:
-            break
-        q = step.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("s2"))
-        step = durable(
-            step.join(q, step.tree.eqNullSafe(q.t2) & (step.up == q.n2), "left").select(
-                "tree", "node", F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total"),
+        elif 1 << len(levels) > limit:
+            break  # only cycles are left
+        levels.append(open_)
+        q = at_root.unionByName(open_).select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("s2"))
+        moved = durable(
+            open_.join(q, open_.tree.eqNullSafe(q.t2) & (open_.up == q.n2)).select(
+                "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("s2")).alias("total")
             ),
             "chat-step",
         )
-        levels.append(step)
-    parents = levels[0].where("up is not null").select(F.col("tree").alias("t3"), F.col("up").alias("u3")).distinct()
-    done = step.where("up is null")
-    leaves = done.join(parents, done.tree.eqNullSafe(parents.t3) & (done.node == parents.u3), "left_anti")
+        at_root = at_root.unionByName(moved.where("up is null"))
+    parents = known.where("up is not null").select(F.col("tree").alias("t3"), F.col("up").alias("u3")).distinct()
+    leaves = at_root.join(parents, at_root.tree.eqNullSafe(parents.t3) & (at_root.node == parents.u3), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
-    path = chosen.select("tree", F.col("node").alias("leaf"), "branch", "node", (F.col("depth") - 1).alias("pos"))
+    path = durable(chosen.select("tree", F.col("node").alias("leaf"), "branch", "node", (F.col("depth") - 1).alias("pos")), "chat-path")
     for k, level in enumerate(levels):
-        up = level.where("up is not null").select(F.col("tree").alias("t4"), F.col("node").alias("n4"), F.col("up").alias("u4"))
-        path = path.unionByName(
-            path.join(up, path.tree.eqNullSafe(up.t4) & (path.node == up.n4)).select(
-                "tree", "leaf", "branch", F.col("u4").alias("node"), (F.col("pos") - (1 << k)).alias("pos")
-            )
+        up = level.select(F.col("tree").alias("t4"), F.col("node").alias("n4"), F.col("up").alias("u4"))
+        more = path.join(up, path.tree.eqNullSafe(up.t4) & (path.node == up.n4)).select(
+            "tree", "leaf", "branch", F.col("u4").alias("node"), (F.col("pos") - (1 << k)).alias("pos")
         )
+        path = durable(path.unionByName(more), "chat-path")
     text = base.select(F.col("tree").alias("t5"), F.col("node").alias("n5"), "role", "text")
     return path.join(text, path.tree.eqNullSafe(text.t5) & (path.node == text.n5)).select("tree", "leaf", "branch", "pos", "role", "text")
 
