@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.llm.durable import durable
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
@@ -87,10 +89,13 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, order: list[i
 
 def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, times (copies taken), taken (words)."""
-    sized = docs.select(
-        "doc_id", "source",
-        F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-    )
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return _plan(docs.select("doc_id", "source", size.alias("size"), F.lit(0).cast("long").alias("row")), seed).drop("row")
+
+
+def _plan(sizes: DataFrame, seed: int) -> DataFrame:
+    """The mix of ``sizes`` (doc_id, source, size, row); ``row`` passes through."""
+    sized = durable(sizes, "mix-sizes")
     targets = source_targets(sized)
     counts = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
@@ -125,15 +130,18 @@ def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
     among = Window.partitionBy("source", "size", "slot").orderBy("order", "doc_id")
     torn = met.where((F.col("quota") > 0) & (F.col("quota") < F.col("here"))).withColumn("extra", (F.row_number().over(among) <= F.col("quota")).cast("int"))
     times = F.col("whole") + F.col("extra")
-    return sure.unionByName(torn).select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("long").alias("taken"))
+    return sure.unionByName(torn).select("row", "doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The mixed documents themselves: each row as often as the mix takes it."""
-    plan = mix_sources(docs, seed).groupBy("doc_id").agg(F.max("times").alias("times"))
-    p = plan.select(F.col("doc_id").alias("d"), "times")
-    return (
-        docs.join(p, docs.doc_id.eqNullSafe(p.d))
-        .withColumn("copy", F.explode(F.when(F.col("times") > 0, F.sequence(F.lit(1), F.col("times")))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    """The mixed documents themselves: each row as often as the mix takes it.
+
+    Rows are told apart by their place in the scan, so ``docs`` must read the
+    same rows in the same order each time, as a written table does.
+    """
+    placed = docs.withColumn("mix_row", F.monotonically_increasing_id())
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    plan = _plan(placed.select("doc_id", "source", size.alias("size"), F.col("mix_row").alias("row")), seed)
+    p = plan.where("times > 0").select(F.col("row").alias("mix_row"), "times")
+    copies = placed.join(p, "mix_row").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select(*docs.columns)
