@@ -18,11 +18,13 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.llm import textcore
 from dossier.llm.durable import durable
 
 END_ID = 2
@@ -127,7 +129,7 @@ class SegmentEncoder:
     _INNER = re.compile(r" \s")
     _CUT = re.compile(r"(?<=\S)(?= )")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -159,7 +161,7 @@ class SegmentEncoder:
                     keys += rest
             first[i + 1] = len(keys)
         get = self.index.get
-        found = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        found = np.fromiter(map(get, keys, repeat(-1)), np.int64, len(keys))
         kept, kept_ids = len(self.index), self.used
         miss = np.flatnonzero(found < 0)
         if len(miss):
@@ -168,12 +170,13 @@ class SegmentEncoder:
                 found[i] = kept + new.setdefault(keys[i], len(new))
             coded = self.tokenizer.encode_batch_fast([k[0] if type(k) is tuple else " " + k for k in new], add_special_tokens=False)
             ids = [e.ids for e in coded]
+            del coded
             sizes = np.fromiter(map(len, ids), np.int32, len(ids))
             total = int(sizes.sum())
             self._room(kept + len(new), kept_ids + total)
             self.size[kept : kept + len(new)] = sizes
             self.start[kept : kept + len(new)] = kept_ids + np.cumsum(sizes) - sizes
-            self.flat[kept_ids : kept_ids + total] = np.fromiter((x for e in ids for x in e), np.uint32, total)
+            self.flat[kept_ids : kept_ids + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
             if kept < self.most:
                 self.index.update((k, kept + v) for k, v in new.items())
                 self.used += total
@@ -217,8 +220,8 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, blo
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at, to in textcore.pieces(textcore.buffers(batch.column("text"))[1], 4 << 20):
+                piece = batch.slice(at, to - at)
                 ids, sizes = coder.encode(piece.column("text").to_pylist())
                 cut = np.cumsum(sizes)
                 ids = np.insert(ids, cut, end_id)
