@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import textcore
-from dossier.llm.durable import durable, settle
+from dossier.llm.durable import durable, release, settle
 
 SPAN = 50
 GRAM = 26
@@ -72,12 +72,20 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return at, gram[at]
 
 
-def _digest(data: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def _digest(data) -> int:
+    """The head of a text's SHA-256, as :func:`_named` has it natively."""
+    return int(hashlib.sha256(data).hexdigest()[:15], 16)
+
+
+def _named(docs: DataFrame, buckets: int, *more: str) -> DataFrame:
+    """Long enough texts with their digest and text bucket: kind 1, bucket, blob (null), digest, text."""
+    head = F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long")
+    long_ = docs.where(f"doc_id is not null and octet_length(text) >= {SPAN}").withColumn("digest", head)
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int")
+    return long_.select(F.lit(1).alias("kind"), bucket.alias("bucket"), F.lit(None).cast("binary").alias("blob"), *more, "digest", "text")
 
 
 _POST = np.dtype([("g", np.uint64), ("d", np.int64)])
-_HIT = np.dtype([("d", np.int64), ("g", np.uint64)])
 _CUT = np.dtype([("d", np.int64), ("a", np.int64), ("b", np.int64)])
 
 
@@ -104,33 +112,25 @@ def _unpacked(blob: bytes, dtype=None):
     return raw if dtype is None else np.frombuffer(raw, dtype)
 
 
-def _read(docs: DataFrame, buckets: int) -> DataFrame:
-    """Durable rows of documents (doc_id, n_bytes, digest, sha) and of anchor blobs (bucket, blob)."""
+def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+    """Durable rows (digest, blob of grams): the anchors whose gram is in two different texts."""
 
-    def run(batches):
+    def emit(batches):
         import pyarrow as pa
 
         held, size, seen = [], 0, set()
 
         def flush():
             rows = np.concatenate(held)
-            got = _packed(pa, _split(rows, (textcore.mix(rows["g"]) % np.uint64(buckets)).astype(np.int64)))
-            k = got.num_rows
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), *got.columns], names=names)
+            return _packed(pa, _split(rows, (textcore.mix(rows["g"]) % np.uint64(buckets)).astype(np.int64)))
 
         for batch, i, j, data, offsets in textcore.text_pieces(batches):
-            k = j - i
-            ids = batch.column("doc_id").slice(i, k)
-            texts = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-            digest = np.array([_digest(t) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.diff(offsets)), pa.array(digest), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
-            )
-            fresh = ids.is_valid().to_numpy(zero_copy_only=False).copy()
+            digest = np.array([_digest(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
+            fresh = np.ones(j - i, bool)
             for x, d in enumerate(digest.tolist()):  # a copy met in this partition adds nothing
-                if fresh[x] and d in seen:
+                if d in seen:
                     fresh[x] = False
-                elif fresh[x] and len(seen) < 1 << 20:
+                elif len(seen) < 1 << 20:
                     seen.add(d)
             at, gram = find_anchors(data, offsets)
             of = np.searchsorted(offsets[1:], at, side="right")
@@ -145,14 +145,7 @@ def _read(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    names = ["doc_id", "n_bytes", "digest", "sha", "bucket", "blob"]
-    return durable(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, digest long, sha string, bucket int, blob binary"), "suffix-read")
-
-
-def _shared_anchors(read: DataFrame, buckets: int) -> DataFrame:
-    """Durable blobs by text bucket: the (digest, gram) whose gram is in two different texts."""
-
-    def run(batches):
+    def shared(batches):
         import pyarrow as pa
 
         parts: dict[int, list] = {}
@@ -167,17 +160,17 @@ def _shared_anchors(read: DataFrame, buckets: int) -> DataFrame:
             g, d = g[first], d[first]
             same = g[1:] == g[:-1]
             keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            out = np.empty(int(keep.sum()), _HIT)
-            out["d"], out["g"] = d[keep], g[keep]
-            if len(out):
-                yield _packed(pa, _split(out, _text_bucket(out["d"], buckets)))
-
-    blobs = read.where("bucket is not null").select("bucket", "blob").repartition(buckets, "bucket")
-    return durable(blobs.mapInArrow(run, "bucket int, blob binary"), "suffix-anchors")
-
+            g, d = g[keep], d[keep]
+            if not len(d):
+                continue
+            order = np.argsort(d, kind="stable")
+            g, d = g[order], d[order]
+            edge = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(d[edge]), pa.array([g[x:y].tobytes() for x, y in zip(edge, np.append(edge[1:], len(d)))], pa.binary())], names=["digest", "blob"])
 
-def _text_bucket(digest: np.ndarray, buckets: int) -> np.ndarray:
-    return (textcore.mix(digest.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    texts = docs.where(f"doc_id is not null and octet_length(text) >= {SPAN}").select("text")
+    blobs = texts.mapInArrow(emit, "bucket int, blob binary").repartition(buckets, "bucket")
+    return durable(blobs.mapInArrow(shared, "digest long, blob binary"), "suffix-anchors")
 
 
 class Entries:
@@ -378,14 +371,12 @@ def shared_spans(e: Entries, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _sorted_runs(docs: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
-    """Durable (bucket, blob: front-coded run) by gram, and rows with bucket null: spans already known."""
+    """(kind, bucket, blob): kind 1, front-coded runs by gram bucket; kind 2, spans already known."""
 
     def run(batches):
         import pyarrow as pa
 
-        wanted: dict[int, np.ndarray] = {}
-        parts: dict[int, list] = {}
-        seen: set[int] = set()
+        wanted: dict[int, list] = {}
         held, size = [], 0
 
         def flush():
@@ -411,40 +402,29 @@ def _sorted_runs(docs: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame
             c = np.concatenate(cuts) if cuts else np.zeros(0, _CUT)
             out = [pa.RecordBatch.from_arrays([pa.array([1] * got[0].num_rows, pa.int32()), *got[0].columns], names=["kind", "bucket", "blob"])]
             if len(c):
-                g = _packed(pa, _split(c, _text_bucket(c["d"].copy(), buckets)))
+                g = _packed(pa, [(0, c)])
                 out.append(pa.RecordBatch.from_arrays([pa.array([2] * g.num_rows, pa.int32()), *g.columns], names=["kind", "bucket", "blob"]))
             return out
 
         for batch in batches:
             kinds = batch.column("kind").to_numpy(zero_copy_only=False)
-            blobs = np.flatnonzero(kinds == 0)
-            for b, x in zip(batch.column("bucket").take(pa.array(blobs)).to_pylist(), batch.column("blob").take(pa.array(blobs)).to_pylist()):
-                parts.setdefault(b, []).append(x)
+            grams = batch.filter(pa.array(kinds == 0))
+            for d, x in zip(grams.column("digest").to_pylist(), grams.column("blob").to_pylist()):
+                wanted.setdefault(d, []).append(x)
             texts = batch.filter(pa.array(kinds == 1))
             if not texts.num_rows:
                 continue
-            for b in list(parts):  # anchors of a bucket come before its texts
-                rows = np.concatenate([_unpacked(x, _HIT) for x in parts.pop(b)])
-                wanted[b] = np.sort(rows, order=["d", "g"])
             for piece, i, j, data, offsets in textcore.text_pieces([texts]):
-                buckets_here = piece.column("bucket").slice(i, j - i).to_pylist()
                 digest = piece.column("digest").slice(i, j - i).to_numpy()
                 ids = piece.column("doc_id").slice(i, j - i).to_numpy()
-                fresh = np.zeros(j - i, bool)
-                for x, d in enumerate(digest.tolist()):  # the first of equal texts has the smallest doc_id
-                    if d not in seen:
-                        seen.add(d)
-                        fresh[x] = True
                 at, gram = find_anchors(data, offsets)
                 of = np.searchsorted(offsets[1:], at, side="right")
                 edges = np.searchsorted(of, np.arange(j - i + 1))
                 keep = np.zeros(len(at), bool)
-                for x in np.flatnonzero(fresh):
-                    table = wanted.get(buckets_here[x])
-                    if table is not None:
-                        lo, hi = np.searchsorted(table["d"], digest[x], "left"), np.searchsorted(table["d"], digest[x], "right")
-                        if hi > lo:
-                            keep[edges[x] : edges[x + 1]] = np.isin(gram[edges[x] : edges[x + 1]], table["g"][lo:hi])
+                for x, d in enumerate(digest.tolist()):
+                    # The first of equal texts has the smallest doc_id; it takes the anchors, its copies find none.
+                    if (table := wanted.pop(d, None)) is not None:
+                        keep[edges[x] : edges[x + 1]] = np.isin(gram[edges[x] : edges[x + 1]], np.frombuffer(b"".join(table), np.uint64))
                 at, gram, of = at[keep], gram[keep], of[keep]
                 if len(at):
                     held.append((Entries.cut(data, offsets[of], offsets[of + 1], at, ids[of], digest[of]), (textcore.mix(gram) % np.uint64(buckets)).astype(np.int64)))
@@ -455,32 +435,32 @@ def _sorted_runs(docs: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame
         if size:
             yield from flush()
 
-    def route(batches):
-        import pyarrow as pa
-
-        for batch, i, j, data, offsets in textcore.text_pieces(batches):
-            digest = np.array([_digest(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
-            part = batch.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * (j - i), pa.int32()), pa.array(_text_bucket(digest, buckets), pa.int32()), pa.nulls(j - i, pa.binary()), part.column("doc_id"), pa.array(digest), part.column("text")], names=["kind", "bucket", "blob", "doc_id", "digest", "text"])
-
-    schema = "kind int, bucket int, blob binary, doc_id long, digest long, text string"
-    texts = docs.where(f"doc_id is not null and octet_length(text) >= {SPAN}").select("doc_id", "text").mapInArrow(route, schema)
     null = F.lit(None)
-    known = anchors.select(F.lit(0).alias("kind"), "bucket", "blob", null.cast("long").alias("doc_id"), null.cast("long").alias("digest"), null.cast("string").alias("text"))
-    met = known.unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "doc_id")
-    return durable(met.mapInArrow(run, "kind int, bucket int, blob binary"), "suffix-runs")
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int")
+    known = anchors.select(F.lit(0).alias("kind"), bucket.alias("bucket"), "blob", null.cast("long").alias("doc_id"), "digest", null.cast("string").alias("text"))
+    met = known.unionByName(_named(docs, buckets, "doc_id")).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "doc_id")
+    return met.mapInArrow(run, "kind int, bucket int, blob binary")
 
 
 def _merged_spans(runs: DataFrame, buckets: int) -> DataFrame:
-    """Blobs by text bucket of the spans (digest, first byte, end) that smaller documents hold."""
+    """Durable rows (digest, blob of spans): what smaller documents hold, span by span."""
 
-    def run(batches):
+    def by_text(c):
         import pyarrow as pa
 
+        c = c[np.argsort(c["d"], kind="stable")]
+        edge = np.flatnonzero(np.concatenate([[True], c["d"][1:] != c["d"][:-1]]))
+        blobs = [np.stack([c["a"][x:y], c["b"][x:y]]).tobytes() for x, y in zip(edge, np.append(edge[1:], len(c)))]
+        return pa.RecordBatch.from_arrays([pa.array(c["d"][edge]), pa.array(blobs, pa.binary())], names=["digest", "blob"])
+
+    def run(batches):
         parts: dict[int, list] = {}
         for batch in batches:
-            for b, x in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-                parts.setdefault(b, []).append(x)
+            for kind, b, x in zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+                if kind == 2:
+                    yield by_text(_unpacked(x, _CUT))
+                else:
+                    parts.setdefault(b, []).append(x)
         for b in list(parts):
             got = [Entries.from_run(_unpacked(x)) for x in parts.pop(b)]
             which, at, lcp = merge_runs([g[0].right for g in got], [g[1] for g in got])
@@ -490,51 +470,44 @@ def _merged_spans(runs: DataFrame, buckets: int) -> DataFrame:
             if len(hit):
                 c = np.empty(len(hit), _CUT)
                 c["d"], c["a"], c["b"] = e.digest[hit], e.pos[hit] + a, e.pos[hit] + z
-                yield _packed(pa, _split(c, _text_bucket(c["d"].copy(), buckets)))
+                yield by_text(c)
 
-    return runs.where("kind = 1").select("bucket", "blob").repartition(buckets, "bucket").mapInArrow(run, "bucket int, blob binary")
+    # Known spans belong to no gram bucket; a hash of theirs deals them out.
+    to = F.when(F.col("kind") == 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("blob"), F.lit(buckets)).cast("int"))
+    dealt = runs.withColumn("to", to).repartition(buckets, "to").drop("to")
+    return durable(dealt.mapInArrow(run, "digest long, blob binary"), "suffix-spans")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    read = _read(docs, buckets)
-    anchors = _shared_anchors(read, buckets)
-    settle(spark)
-    runs = _sorted_runs(docs, anchors, buckets)
+    anchors = _shared_anchors(docs, buckets)
     settle(spark)
-    spans = durable(runs.where("kind = 2").select("bucket", "blob").unionByName(_merged_spans(runs, buckets)), "suffix-spans")
+    spans = _merged_spans(_sorted_runs(docs, anchors, buckets), buckets)
+    release(anchors)
     settle(spark)
 
     def cut(batches):
         import pyarrow as pa
 
-        parts: dict[int, list] = {}
-        table: dict[int, tuple] = {}
-        seen: set[int] = set()
+        table: dict[int, list] = {}
         for batch in batches:
             kinds = batch.column("kind").to_numpy(zero_copy_only=False)
-            blobs = pa.array(np.flatnonzero(kinds == 0))
-            for b, x in zip(batch.column("bucket").take(blobs).to_pylist(), batch.column("blob").take(blobs).to_pylist()):
-                parts.setdefault(b, []).append(x)
+            found = batch.filter(pa.array(kinds == 0))
+            for d, x in zip(found.column("digest").to_pylist(), found.column("blob").to_pylist()):
+                table.setdefault(d, []).append(np.frombuffer(x, np.int64).reshape(2, -1))
             texts = batch.filter(pa.array(kinds == 1))
             if not texts.num_rows:
                 continue
-            for b in list(parts):
-                rows = np.sort(np.concatenate([_unpacked(x, _CUT) for x in parts.pop(b)]), order=["d", "a"])
-                table[b] = (rows, rows["d"].copy())
             out = []
             data, offsets = textcore.buffers(texts.column("text"))
-            for x, (b, d) in enumerate(zip(texts.column("bucket").to_pylist(), texts.column("digest").to_pylist())):
-                rows, names = table.get(b, (None, None))
-                if rows is None or d in seen:
+            for x, d in enumerate(texts.column("digest").to_pylist()):
+                if (cuts := table.pop(d, None)) is None:  # nothing to cut, or a copy already answered for
                     continue
-                seen.add(d)
-                lo, hi = np.searchsorted(names, d, "left"), np.searchsorted(names, d, "right")
-                if hi == lo:
-                    continue
-                a, z = rows["a"][lo:hi], np.maximum.accumulate(rows["b"][lo:hi])
+                rows = np.concatenate(cuts, axis=1)
+                rows = rows[:, np.lexsort(rows[::-1])]
+                a, z = rows[0], np.maximum.accumulate(rows[1])
                 first = np.flatnonzero(np.concatenate([[True], a[1:] > z[:-1]]))
                 a, z = a[first], z[np.append(first[1:], len(z)) - 1]
                 raw = data[offsets[x] : offsets[x + 1]].tobytes()
@@ -550,18 +523,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     names=["digest", "removed", "spans", "kept"],
                 )
 
-    def route(batches):
-        import pyarrow as pa
-
-        for batch, i, j, data, offsets in textcore.text_pieces(batches):
-            digest = np.array([_digest(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * (j - i), pa.int32()), pa.array(_text_bucket(digest, buckets), pa.int32()), pa.nulls(j - i, pa.binary()), pa.array(digest), batch.column("text").slice(i, j - i)], names=["kind", "bucket", "blob", "digest", "text"])
-
-    texts = docs.where(f"doc_id is not null and octet_length(text) >= {SPAN}").select("text").mapInArrow(route, "kind int, bucket int, blob binary, digest long, text string")
-    known = spans.select(F.lit(0).alias("kind"), "bucket", "blob", F.lit(None).cast("long").alias("digest"), F.lit(None).cast("string").alias("text"))
-    met = known.unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int")
+    known = spans.select(F.lit(0).alias("kind"), bucket.alias("bucket"), "blob", "digest", F.lit(None).cast("string").alias("text"))
+    met = known.unionByName(_named(docs, buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     partly = met.mapInArrow(cut, "digest long, removed long, spans long, kept string")
-    rows = read.where("bucket is null").select("doc_id", "n_bytes", "digest", "sha")
+    whole_text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.octet_length(whole_text).cast("long").alias("n_bytes"), F.sha2(whole_text, 256).alias("sha"))
+    rows = rows.withColumn("digest", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
     least = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     per_text = least.join(partly, "digest", "left")
     met = rows.join(per_text, "digest", "left")
