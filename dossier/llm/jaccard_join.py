@@ -9,11 +9,12 @@ the size), and the parity bitmaps of two sets bound their overlap from above:
 the set bits of the XOR never exceed the symmetric difference.  Pairs that pass
 are decided by intersecting the sorted shingle arrays.
 
-Copies collapse first: equal sets are one node.  Then every node is compared with
-the smallest node that shares one of its ``PIVOTS`` lowest shingles, which joins
-most of a near-copy group through few pairs.  Tiles afterwards compare only nodes
-of different groups, so a group's own pairs are not emitted again; links between
-groups stay exact.
+Copies collapse first: equal sets are one node.  Then rounds compare every node
+with one seeded pivot per tile of its ``PIVOTS`` lowest shingles, until a round
+joins almost nothing: a near-copy group grows together through few pairs.  Tiles
+afterwards compare only nodes of different groups, so a group's own pairs are not
+emitted again; links between groups stay exact.  A tile of at most ``SMALL`` nodes
+names its pairs at once; larger ones are compared in blocks with their bitmaps.
 
 Defined results
 * null or empty text: no shingles, linked with nothing
@@ -37,6 +38,8 @@ PIVOTS = 4
 SKETCH_BITS = 18
 SKETCH_PARTS = 16
 FILTER_BITS = 1 << 26
+SMALL = 6
+ROUNDS = 12
 _BLOCK = 512
 
 
@@ -143,15 +146,13 @@ def _classes(scan: DataFrame) -> np.ndarray:
     return np.where(over > 1, np.ceil(np.log2(np.maximum(over, 1))) + 1, 0).astype(np.int8)
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b: nodes) that reach the threshold, decided on the sorted shingle arrays.
+def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Durable (node, s): sorted shingle arrays of the ``wanted`` (node, rep).
 
-    A bit filter of fixed size over the needed doc_ids keeps the other texts out
+    A bit filter of fixed size over the wanted doc_ids keeps the other texts out
     of the hashing; it may let some through and the join then drops them.
     """
     spark = docs.sparkSession
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = durable(nodes.select("node", "rep").join(asked, "node"), "jaccard-wanted")
     slot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
     words = wanted.select((slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {FILTER_BITS}) % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
     got = words.toPandas()  # at most 2^20 words
@@ -171,13 +172,39 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             part = batch.filter(pa.array(keep))
             for piece, i, j, data, offsets in textcore.text_pieces([part]):
                 sets = textcore.shingle_sets(*textcore.words(data, offsets))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "s"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id").slice(i, j - i), pa.array([_digest(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "made", "s"])
 
     texts = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"))
-    made = texts.mapInArrow(arrays, "doc_id long, s binary")
-    sets = durable(made.join(wanted, made.doc_id == wanted.rep).select("node", "s"), "jaccard-arrays")
+    made = texts.mapInArrow(arrays, "doc_id long, made long, s binary")
+    met = made.join(wanted, made.made == wanted.node).where("doc_id = rep").select("node", "s")
+    return durable(met.dropDuplicates(["node"]), "jaccard-arrays")  # on the join's own partitioning
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Durable pairs (a, b) whose bitmaps allow the threshold."""
+
+    def bound(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            differ = np.zeros(batch.num_rows, np.int64)
+            for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                w = min(len(x), len(y))
+                differ[k] = np.bitwise_count(_fold(x, w) ^ _fold(y, w)).sum()
+            part = batch.filter(pa.array((na + nb - differ) // 2 >= need(na, nb)))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"])
+
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("y"))
+    return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(bound, "a long, b long"), "jaccard-possible")
 
-    def decide(batches):
+
+def _decide(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Durable pairs that reach the threshold, by intersecting the sorted shingle arrays."""
+
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
@@ -191,26 +218,35 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    links = durable(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long"), "jaccard-pairs")
-    release(sets, wanted)
-    return links
+    return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-pairs")
 
 
-def _pivot_pairs(nodes: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """Each node with the least node sharing one of its lowest shingles, unless their groups agree."""
-    low = nodes.where("n > 0").select("node", "n", F.explode("low").alias("t"))
-    if groups is not None:
-        low = low.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node"))
-    else:
-        low = low.withColumn("g", F.col("node"))
-    pivot = low.groupBy("t").agg(F.min(F.struct("g", "node", "n")).alias("p"), F.max("g").alias("last")).where("last > p.g").select("t", "p")
-    met = low.join(pivot, "t").where(F.col("g") != F.col("p.g"))
-    a, b = F.col("n"), F.col("p.n")
-    return met.where((a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT)).select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+def _compatible(a, b):
+    return (a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT)
+
+
+def _low_tiles(nodes: DataFrame) -> DataFrame:
+    """Durable (t, node, n): the lowest shingles that more than one node has."""
+    low = nodes.select("node", "n", F.explode("low").alias("t"))
+    many = low.groupBy("t").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("t")
+    return durable(low.join(many, "t"), "jaccard-low")
+
+
+def _pivot_pairs(low: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
+    """Each node with its tile's pivot of this round, unless their groups agree."""
+    tiles = low.withColumn("g", F.col("node")) if groups is None else low.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
+    choice = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "g", "node", "n"))
+    pivot = tiles.groupBy("t").agg(choice.alias("p"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("t", "p")
+    met = tiles.join(pivot, "t").where((F.col("g") != F.col("p.g")) & _compatible(F.col("n"), F.col("p.n")))
+    return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
 def _postings(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
-    """Durable (node, n, token): prefix shingles that at least two different sets hold."""
+    """Durable rows of prefix shingles that different sets share.
+
+    A tile of at most SMALL nodes gives its pairs (a, b) of compatible size; a
+    larger one its rows (node, n, t).
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(classes)
     row = np.dtype([("t", np.uint64), ("d", np.int64), ("n", np.int32)])
@@ -264,15 +300,37 @@ def _postings(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
             t, d, n = t[first], d[first], n[first]
             same = t[1:] == t[:-1]
             keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(n[keep].astype(np.int64)), pa.array(t[keep].astype(np.int64))], names=["node", "n", "t"])
+            if not keep.any():
+                continue
+            t, d, n = t[keep], d[keep], n[keep].astype(np.int64)
+            edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            many = np.diff(np.append(edge, len(t)))
+            large = np.repeat(many > SMALL, many)
+            pairs = []
+            for m in range(2, SMALL + 1):
+                at = edge[many == m]
+                for x in range(m):
+                    for y in range(x + 1, m):
+                        i, j = at + x, at + y
+                        fit = _compatible(n[i], n[j])
+                        pairs.append(np.stack([d[i][fit], d[j][fit]], axis=1))
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            k, q = int(large.sum()), len(pairs)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(d[large]), pa.nulls(q, pa.int64())]), pa.concat_arrays([pa.array(n[large]), pa.nulls(q, pa.int64())]),
+                    pa.concat_arrays([pa.array(t[large].astype(np.int64)), pa.nulls(q, pa.int64())]),
+                    pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(pairs[:, 0].copy())]), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(pairs[:, 1].copy())]),
+                ],
+                names=["node", "n", "t", "a", "b"],
+            )
 
     blobs = docs.select("text").mapInArrow(emit, "bucket int, rows binary").repartition(buckets, "bucket")
-    return durable(blobs.mapInArrow(shared_only, "node long, n long, t long"), "jaccard-postings")
+    return durable(blobs.mapInArrow(shared_only, "node long, n long, t long, a long, b long"), "jaccard-postings")
 
 
 def _tile_pairs(rows: DataFrame, parts: int) -> DataFrame:
-    """Pairs of one tile whose bitmaps allow the threshold.  ``rows``: t, g, node, n, bitmap."""
+    """Pairs of large tiles whose bitmaps allow the threshold.  ``rows``: t, g, node, n, bitmap."""
 
     def tile(g, node, n, maps):
         """Nodes of different groups, in size bands, smallest groups against all."""
@@ -289,7 +347,7 @@ def _tile_pairs(rows: DataFrame, parts: int) -> DataFrame:
             for y in range(x, len(node), _BLOCK):
                 rows_y = np.arange(y, min(y + _BLOCK, len(node)))
                 nx, ny = n[rows_x][:, None], n[rows_y][None, :]
-                ok = (g[rows_x][:, None] != g[rows_y][None, :]) & (nx * 100 >= ny * PERCENT) & (ny * 100 >= nx * PERCENT) & (rows_x[:, None] < rows_y[None, :])
+                ok = (g[rows_x][:, None] != g[rows_y][None, :]) & _compatible(nx, ny) & (rows_x[:, None] < rows_y[None, :])
                 a, b = np.nonzero(ok)
                 if not len(a):
                     continue
@@ -340,19 +398,28 @@ def link_documents(docs: DataFrame) -> DataFrame:
     rows = scan.where("part is null").select("doc_id", "n", "node", "low", "bitmap")
     nodes = durable(rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bitmap").alias("bitmap")), "jaccard-nodes")
     classes = _classes(scan)
-    links, groups = None, None
-    for _ in range(2):
-        found = _verify(docs, nodes, durable(_pivot_pairs(nodes, groups), "jaccard-pivots"))
+    low = _low_tiles(nodes)
+    sets = _arrays(docs, durable(low.select("node").distinct().join(nodes.select("node", "rep"), "node"), "jaccard-wanted"))
+    total, links, groups = nodes.count(), None, None
+    for turn in range(ROUNDS):
+        found = _decide(_possible(_pivot_pairs(low, groups, turn), nodes), sets)
         links = found if links is None else links.unionByName(found)
         groups = components(links)
+        if found.count() * 2000 < total:
+            break
     settle(docs.sparkSession)
     postings = _postings(docs, classes, parts)
-    named = postings.join(groups, "node", "left").select("node", "n", "t", F.coalesce("component", "node").alias("g"))
+    named = postings.where("node is not null").select("node", "n", "t").join(groups, "node", "left").select("node", "n", "t", F.coalesce("component", "node").alias("g"))
     mixed = named.groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("t")
     tiles = named.join(mixed, "t").join(nodes.select("node", "bitmap"), "node").select("t", "g", "node", "n", "bitmap")
-    pairs = durable(_tile_pairs(tiles, parts), "jaccard-candidates")
-    settle(docs.sparkSession)
-    links = links.unionByName(_verify(docs, nodes, pairs))
+    ga, gb = (groups.select(F.col("node").alias(x), F.col("component").alias(f"g{x}")) for x in ("a", "b"))
+    small = postings.where("a is not null").select("a", "b").distinct().join(ga, "a", "left").join(gb, "b", "left")
+    small = _possible(small.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"), nodes)
+    pairs = durable(small.unionByName(_tile_pairs(tiles, parts)).distinct(), "jaccard-candidates")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    new = durable(asked.join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "rep"), "node"), "jaccard-wanted")
+    links = links.unionByName(_decide(pairs, sets.unionByName(_arrays(docs, new))))
+    release(sets)
     comp = components(links)
     joined = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
