@@ -296,10 +296,11 @@ def evidence_union_coverage(spark, d):
 
 
 def _per_question(spark, d):
-    e = frames.evidence(spark, d)
-    o = evidence.overlaps(frames.whole_chunks(spark, d), e)
-    labels = frames.question_labels(spark, d)
-    per = evidence.question_metrics(frames.ranked(spark, d), o, e, labels)
+    # Small results that several branches of the plan read.
+    e = frames.evidence(spark, d).persist()
+    o = evidence.overlaps(frames.whole_chunks(spark, d), e).persist()
+    labels = frames.question_labels(spark, d).persist()
+    per = evidence.question_metrics(frames.ranked(spark, d).persist(), o, e, labels)
     return per.join(labels.select("qid", "category", "difficulty"), "qid")
 
 
@@ -391,10 +392,10 @@ SELECT 'bm25' AS system, qid, round(available / n::DOUBLE, 6) AS oracle_recall,
   CASE WHEN available < n AND kept < available THEN 'both' WHEN available < n THEN 'candidate_generation' WHEN kept < available THEN 'reranking' ELSE 'complete' END AS failure_class,
   round((kept - kept_before) / n::DOUBLE, 6) AS recall_delta FROM x""")
 def rerank_failure_class(spark, d):
-    pools, after = _reranked(spark, d)
-    e = frames.evidence(spark, d)
-    o = evidence.overlaps(frames.whole_chunks(spark, d), e)
-    q = frames.question_labels(spark, d)
+    pools, after = (x.persist() for x in _reranked(spark, d))
+    e = frames.evidence(spark, d).persist()
+    o = evidence.overlaps(frames.whole_chunks(spark, d), e).persist()
+    q = frames.question_labels(spark, d).persist()
     need = e.groupBy("qid").agg(F.collect_set("evidence_id").alias("required"))
     a = rerank.analyze(evidence.question_metrics(pools, o, e, q), evidence.question_metrics(after.select("system", "qid", "chunk_id", "rank"), o, e, q), need)
     return a.select("system", "qid", F.round("oracle_recall", 6).alias("oracle_recall"), "failure_class", F.round("recall_delta", 6).alias("recall_delta"))
@@ -433,7 +434,7 @@ def item_section_spans(spark, d):
 
 _FACTS = """
 raw AS (
-  SELECT lpad(CAST(o_custkey AS VARCHAR), greatest(10, length(CAST(o_custkey AS VARCHAR))), '0') AS pcik, CAST(o_custkey AS VARCHAR) AS cik,
+  SELECT CAST(o_custkey AS VARCHAR) AS cik,
     CASE o_orderstatus WHEN 'F' THEN 'Assets' WHEN 'O' THEN 'NetIncomeLoss' ELSE 'Revenues' END AS concept,
     CASE o_orderstatus WHEN 'F' THEN 'total_assets' WHEN 'O' THEN 'net_income' ELSE 'revenue' END AS metric,
     CASE WHEN o_orderkey % 10 = 0 THEN 'EUR' ELSE 'USD' END AS unit, o_orderkey AS idx, o_totalprice AS val, year(o_orderdate) AS fy,

@@ -72,9 +72,9 @@ def ranked(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
     ids = documents(spark, d).select(F.col("doc_id").alias("id"))
     q = questions(spark, d)
     tops, out = [], None
-    rel = evidence(spark, d).select("qid", F.col("document_id").alias("id")).distinct()
+    rel = evidence(spark, d).select("qid", F.col("document_id").alias("id")).distinct().persist()
     for name in SYSTEMS:
-        s = scores(spark, d, name)
+        s = scores(spark, d, name).persist()
         top = lexical.top_ranked(s, ids, q, k)
         tops.append(top)
         far = lexical.rank_within(s, ids, rel).where(F.col("rank") > k)
