@@ -35,22 +35,24 @@ RECALL = 0.97
 TILE = 1024
 
 
-def learn_rotation(x: np.ndarray, seed: int, bits: int = BITS, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) of iterative quantisation: alternate sign codes and the best rotation."""
-    mean = x.mean(axis=0)
-    centred = x - mean
+def learn_rotation(x: np.ndarray, seed: int, bits: int = BITS, rounds: int = 30) -> np.ndarray:
+    """Projection of iterative quantisation: alternate sign codes and the best rotation.
+
+    Nothing is centred: a cosine is an angle at the origin, and only planes
+    through the origin part two vectors by that angle.
+    """
     rng = np.random.default_rng(seed)
-    values, vectors = np.linalg.eigh(centred.T @ centred)
+    values, vectors = np.linalg.eigh(x.T @ x)
     basis = vectors[:, np.argsort(values)[::-1][:bits]]
     if basis.shape[1] < bits:  # more bits than dimensions: random directions for the rest
         basis = np.concatenate([basis, rng.normal(size=(x.shape[1], bits - basis.shape[1])) / math.sqrt(x.shape[1])], axis=1)
-    v = centred @ basis
+    v = x @ basis
     turn, _ = np.linalg.qr(rng.normal(size=(bits, bits)))
     for _ in range(rounds):
         code = np.where(v @ turn >= 0, 1.0, -1.0)
         left, _, right = np.linalg.svd(code.T @ v)
         turn = (left @ right).T
-    return mean, basis @ turn
+    return basis @ turn
 
 
 def table_shape(n: int, threshold: float) -> tuple[int, int]:
@@ -64,8 +66,8 @@ def code_parts(x: np.ndarray, rotations: list, width: int, parts: int) -> np.nda
     """n x parts table keys."""
     weights = 1 << np.arange(width)
     out = []
-    for mean, projection in rotations:
-        bits = (x - mean) @ projection >= 0
+    for projection in rotations:
+        bits = x @ projection >= 0
         for k in range(BITS // width):
             out.append(bits[:, k * width : (k + 1) * width] @ weights)
     return np.stack(out[:parts], axis=1).astype(np.uint16)
