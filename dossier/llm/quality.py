@@ -1,8 +1,8 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 Two targets, quality and toxic, are learned from labelled documents by
-logistic regression on hashed words and punctuation runs (the document's own
-evidence).  Grouped aggregation of the labels gives every host and every path
+logistic regression on hashed words, punctuation runs and the document's shape
+(repetition, variety, length, share of punctuation): its own evidence.  Only terms that depend on the label beyond chance (``CHI2``) enter.  Grouped aggregation of the labels gives every host and every path
 under it a posterior rate: a path shrinks towards its host and a host towards
 the global rate, each by a strength estimated from the spread between groups,
 so sparse sites stay near the prior.  A document's log odds are its evidence
@@ -21,19 +21,31 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import textcore
+from dossier.llm.durable import durable
 
 FIT_ROWS = 12_000
-BINS = 1 << 17
+BINS = 1 << 20
+CHI2 = 30.0
+MOST_TERMS = 4096
+#: A document is rejected from this probability of being toxic on; letting one through costs more than losing a clean one.
+TOXIC_LIMIT = 0.2
 _RARE_SITE = 1e6
+#: Site rates are sent to the tasks up to this many sites, a few MB.
+MOST_SITES_SENT = 20_000
+
+
+_STEPS = np.array([0.0, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7])
 
 
 def _features(data: np.ndarray, offsets: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin of every distinct word and punctuation run, first index per document)."""
+    """(distinct bins of the words, punctuation runs and shape, first index per document)."""
     h, bounds = textcore.words(data, offsets)
     mark = ((data >= 33) & (data <= 47)) | ((data >= 58) & (data <= 64)) | ((data >= 91) & (data <= 96)) | ((data >= 123) & (data <= 126))
     masked = np.where(mark, data, np.uint8(32))
@@ -43,8 +55,20 @@ def _features(data: np.ndarray, offsets: np.ndarray, bins: int) -> tuple[np.ndar
     s, e = textcore.word_bounds(letters, offsets)
     q, to = textcore.hash_words(letters, s, e), np.searchsorted(s, offsets)
     out, first = [], [0]
+    marks = np.concatenate([[0], np.cumsum(mark)])
     for i in range(len(offsets) - 1):
-        own = np.concatenate([h[bounds[i] : bounds[i + 1]], q[to[i] : to[i + 1]], textcore.mix(p[at[i] : at[i + 1]])])
+        w = h[bounds[i] : bounds[i + 1]]
+        m, size = len(w), int(offsets[i + 1] - offsets[i])
+        shape = []
+        if m:
+            kinds = np.unique(w)
+            again = np.count_nonzero(w[1:] == w[:-1]) / m
+            punct = (marks[offsets[i + 1]] - marks[offsets[i]]) / size
+            shape = [
+                np.searchsorted(_STEPS, again), 100 + np.searchsorted(_STEPS, 1 - len(kinds) / m) * 8 + min(m.bit_length() // 2, 7),
+                200 + np.searchsorted(_STEPS, punct), 300 + min(m.bit_length(), 20), 400 + min(size // m, 30),
+            ]
+        own = np.concatenate([w, q[to[i] : to[i + 1]], textcore.mix(p[at[i] : at[i + 1]]), textcore.mix(np.array(shape, np.uint64) + np.uint64(1 << 40))])
         bins_here = np.unique((own % np.uint64(bins)).astype(np.int32))
         out.append(bins_here)
         first.append(first[-1] + len(bins_here))
@@ -56,21 +80,38 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return c[first[1:]] - c[first[:-1]]
 
 
-def fit_logistic(feats: np.ndarray, first: np.ndarray, y: np.ndarray, bins: int = BINS, epochs: int = 60, l2: float = 3e-6) -> tuple[np.ndarray, float]:
-    """Weights and intercept by AdaGrad on full batches; each document's features have unit norm."""
-    scale = 1.0 / np.sqrt(np.maximum(np.diff(first), 1))
-    rows = np.repeat(np.arange(len(y)), np.diff(first))
-    # the rarer class weighs as much as the other
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-    w, g2, b = np.zeros(bins), np.full(bins, 1e-8), 0.0
+def choose_terms(feats: np.ndarray, rows: np.ndarray, y: np.ndarray, bins: int) -> np.ndarray:
+    """Bins whose presence depends on the label: at most MOST_TERMS, by chi-square."""
+    n, pos = len(y), y.sum()
+    here = np.bincount(feats, minlength=bins).astype(float)
+    with_pos = np.bincount(feats, weights=y[rows], minlength=bins)
+    a, b, c, d = with_pos, here - with_pos, pos - with_pos, n - pos - here + with_pos
+    chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
+    top = np.argsort(-chi2, kind="stable")[:MOST_TERMS]
+    return top[chi2[top] >= CHI2]
+
+
+def fit_logistic(feats: np.ndarray, first: np.ndarray, y: np.ndarray, bins: int = BINS, epochs: int = 400, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights (zero outside the chosen terms) and intercept, by AdaGrad on full batches of term presence."""
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(first))
+    terms = choose_terms(feats, rows, y, bins)
+    place = np.full(bins, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    at = place[feats]
+    rows, at = rows[at >= 0], at[at >= 0]
+    w, g2 = np.zeros(len(terms)), np.full(len(terms), 1e-8)
+    b, gb = float(np.log(y.mean() / (1 - y.mean()))), 1e-8
     for _ in range(epochs):
-        z = _sums(w[feats], first) * scale + b
-        d = (1 / (1 + np.exp(-z)) - y) * weight
-        grad = np.bincount(feats, weights=(d * scale)[rows], minlength=bins) / len(y) + l2 * w
+        z = np.bincount(rows, weights=w[at], minlength=len(y)) + b
+        d = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
+        grad = np.bincount(at, weights=d[rows], minlength=len(terms)) / len(y) + l2 * w
         g2 += grad * grad
-        w -= 0.7 * grad / np.sqrt(g2)
-        b -= 0.5 * float(d.mean())
-    return w, b
+        w -= grad / np.sqrt(g2)
+        gb += d.mean() ** 2
+        b -= 0.1 * float(d.mean() / np.sqrt(gb))
+    out = np.zeros(bins)
+    out[terms] = w
+    return out, b
 
 
 def _rates(labels: DataFrame, target: str, site: list[str], under: str | None, prior: float) -> DataFrame:
@@ -106,16 +147,19 @@ def _fit(docs: DataFrame, labels: DataFrame, fit_rows: int, bins: int):
                 names=["doc_id", "quality", "toxic", "f"],
             )
 
-    rows = sample.mapInArrow(extract, "doc_id long, quality int, toxic int, f binary").toPandas().sort_values("doc_id")
-    if rows.empty:
+    rows = sample.mapInArrow(extract, "doc_id long, quality int, toxic int, f binary").toArrow().sort_by("doc_id")
+    if not rows.num_rows:
         return None
-    each = [np.frombuffer(x, np.int32) for x in rows["f"]]
+    each = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["f"]]
     feats, first = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
     models = {}
     for target in ("quality", "toxic"):
         y = (rows[target].to_numpy() > 0).astype(float)
-        models[target] = fit_logistic(feats, first, y, bins) if 0 < y.mean() < 1 else (np.zeros(bins), 4.0 if y.mean() else -4.0)
-    return {k: (w.astype(np.float32), float(b)) for k, (w, b) in models.items()}
+        w, b = fit_logistic(feats, first, y, bins) if 0 < y.mean() < 1 else (np.zeros(bins), 4.0 if y.mean() else -4.0)
+        models[target] = w.astype(np.float32), float(b)
+    del rows, each, feats
+    textcore.tidy()
+    return models
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", fit_rows: int = FIT_ROWS, bins: int = BINS) -> DataFrame:
@@ -136,7 +180,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
         by_path = _rates(joined, t, ["host", "path"], f"{t}_host", prior[t])
         p = by_path.withColumnRenamed("host", "h2").withColumnRenamed("path", "p2")
         table = table.join(h, table.host.eqNullSafe(h.h1), "left").drop("h1").join(p, F.col("host").eqNullSafe(F.col("h2")) & F.col("path").eqNullSafe(F.col("p2")), "left").drop("h2", "p2")
+    table = durable(table, "quality-sites")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    odds_of = {t: min(max(p, 1e-6), 1 - 1e-6) for t, p in prior.items()}
+    plain = {t: math.log(p / (1 - p)) for t, p in odds_of.items()}  # without evidence
     schema = docs.select(*own).schema.add("ev_quality", "double").add("ev_toxic", "double")
 
     def evidence(batches):
@@ -145,18 +192,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
         m = shared.value
         for batch, i, j, data, offsets in textcore.text_pieces(batches):
             feats, first = _features(data, offsets, bins)
-            scale = 1.0 / np.sqrt(np.maximum(np.diff(first), 1))
             some = np.diff(first) > 0
-            z = [np.where(some, _sums(m[t][0][feats], first) * scale + m[t][1], 0.0) for t in ("quality", "toxic")]
+            z = [np.where(some, _sums(m[t][0][feats], first) + m[t][1], plain[t]) for t in ("quality", "toxic")]
             yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *map(pa.array, z)], names=[*own, "ev_quality", "ev_toxic"])
 
     scored = docs.select(*own).mapInArrow(evidence, schema)
     t = table.select(F.col("host").alias("h9"), F.col("path").alias("p9"), "quality_host", "quality_path", "toxic_host", "toxic_path")
     hosts = t.groupBy("h9").agg(F.first("quality_host", True).alias("quality_any"), F.first("toxic_host", True).alias("toxic_any"))
+    if table.count() <= MOST_SITES_SENT:  # else a shuffled join
+        t, hosts = F.broadcast(t), F.broadcast(hosts)
     met = scored.join(t, scored[host].eqNullSafe(t.h9) & scored[path].eqNullSafe(t.p9), "left").drop("h9", "p9", "quality_host", "toxic_host")
     met = met.join(hosts, met[host].eqNullSafe(hosts.h9), "left").drop("h9")
     for name in ("quality", "toxic"):
         site = F.coalesce(f"{name}_path", f"{name}_any", F.lit(prior[name]))
         odds = F.col(f"ev_{name}") + _logit(site) - _logit(F.lit(prior[name]))
         met = met.withColumn(f"p_{name}", 1 / (1 + F.exp(-odds)))
-    return met.select(*own, "p_quality", "p_toxic", ((F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5)).alias("kept"))
+    return met.select(*own, "p_quality", "p_toxic", ((F.col("p_quality") >= 0.5) & (F.col("p_toxic") < TOXIC_LIMIT)).alias("kept"))
