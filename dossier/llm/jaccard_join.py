@@ -10,7 +10,7 @@ the set bits of the XOR never exceed the symmetric difference.  Pairs that pass
 are decided by intersecting the sorted shingle arrays.
 
 Copies collapse first: equal sets are one node.  Then rounds compare every node
-with one seeded pivot per tile of its ``PIVOTS`` lowest shingles, until a round
+with two seeded pivots per tile of its ``PIVOTS`` lowest shingles, until a round
 joins almost nothing: a near-copy group grows together through few pairs.  Tiles
 afterwards compare only nodes of different groups, so a group's own pairs are not
 emitted again; links between groups stay exact.  A tile of at most ``SMALL`` nodes
@@ -40,6 +40,7 @@ SKETCH_PARTS = 16
 FILTER_BITS = 1 << 26
 SMALL = 6
 ROUNDS = 12
+HOMES = 24
 _BLOCK = 512
 
 
@@ -155,7 +156,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     slot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
     words = wanted.select((slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {FILTER_BITS}) % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    got = words.toPandas()  # at most 2^20 words
+    got = words.toArrow()  # at most 2^20 words
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[got["w"].to_numpy()] = got["m"].to_numpy()
     shared = spark.sparkContext.broadcast(table.view(np.uint64))
@@ -233,10 +234,11 @@ def _low_tiles(nodes: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(low: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
-    """Each node with its tile's pivot of this round, unless their groups agree."""
+    """Each node with its tile's two pivots of this round, unless their groups agree."""
     tiles = low.withColumn("g", F.col("node")) if groups is None else low.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
-    choice = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "g", "node", "n"))
-    pivot = tiles.groupBy("t").agg(choice.alias("p"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("t", "p")
+    choice = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "g", "node", "n")
+    spread = tiles.groupBy("t").agg(F.array(F.min(choice), F.max(choice)).alias("ps"), F.min("g").alias("g0"), F.max("g").alias("g1"))
+    pivot = spread.where("g0 < g1").select("t", F.explode("ps").alias("p"))
     met = tiles.join(pivot, "t").where((F.col("g") != F.col("p.g")) & _compatible(F.col("n"), F.col("p.n")))
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
@@ -306,7 +308,7 @@ def _postings(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
             edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             many = np.diff(np.append(edge, len(t)))
             large = np.repeat(many > SMALL, many)
-            pairs = []
+            pairs = [np.zeros((0, 2), np.int64)]
             for m in range(2, SMALL + 1):
                 at = edge[many == m]
                 for x in range(m):
@@ -330,15 +332,21 @@ def _postings(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
 
 
 def _tile_pairs(rows: DataFrame, parts: int) -> DataFrame:
-    """Pairs of large tiles whose bitmaps allow the threshold.  ``rows``: t, g, node, n, bitmap."""
+    """Pairs of large tiles whose bitmaps allow the threshold.  ``rows``: t, g, node, n, bitmap, tiles.
 
-    def tile(g, node, n, maps):
+    ``tiles`` lists the HOMES least tiles of a node.  A pair that meets in several is
+    named in the least of them, which both lists hold as soon as they share any;
+    without a shared one it is named wherever it meets.
+    """
+
+    def tile(t, g, node, n, maps, homes):
         """Nodes of different groups, in size bands, smallest groups against all."""
         if len(node) < 2 or (g == g[0]).all():
             return None
         _, at, many = np.unique(g, return_inverse=True, return_counts=True)
         order = np.lexsort((n, at, many[at]))
         g, node, n, maps = g[order], node[order], n[order], [maps[k] for k in order]
+        homes = [homes[k] for k in order]
         width = np.array([len(m) for m in maps])
         last = int(np.flatnonzero(g != g[-1])[-1])  # from here on all rows are one group
         out = []
@@ -364,7 +372,9 @@ def _tile_pairs(rows: DataFrame, parts: int) -> DataFrame:
                         differ = np.bitwise_count(table[np.searchsorted(names, a[p])] ^ table[np.searchsorted(names, b[p])]).sum(axis=1, dtype=np.int64)
                         both = n[a[p]] + n[b[p]]
                         can = (both - differ) // 2 >= need(n[a[p]], n[b[p]])
-                        out.append(np.stack([node[a[p][can]], node[b[p][can]]], axis=1))
+                        i, j = a[p][can], b[p][can]
+                        here = np.fromiter((min(homes[x] & homes[y], default=t) == t for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+                        out.append(np.stack([node[i[here]], node[j[here]]], axis=1))
         return np.concatenate(out) if out else None
 
     def run(batches):
@@ -373,13 +383,13 @@ def _tile_pairs(rows: DataFrame, parts: int) -> DataFrame:
         key, held = None, []
 
         def done():
-            pairs = tile(np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held]), [np.frombuffer(h[3], np.uint64) for h in held]) if len(held) > 1 else None
+            pairs = tile(key, np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held]), [np.frombuffer(h[3], np.uint64) for h in held], [set(h[4]) for h in held]) if len(held) > 1 else None
             if pairs is None or not len(pairs):
                 return None
             return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
 
         for batch in batches:
-            for t, *rest in zip(*[batch.column(c).to_pylist() for c in ("t", "g", "node", "n", "bitmap")]):
+            for t, *rest in zip(*[batch.column(c).to_pylist() for c in ("t", "g", "node", "n", "bitmap", "tiles")]):
                 if t != key:
                     if (out := done()) is not None:
                         yield out
@@ -402,20 +412,29 @@ def link_documents(docs: DataFrame) -> DataFrame:
     sets = _arrays(docs, durable(low.select("node").distinct().join(nodes.select("node", "rep"), "node"), "jaccard-wanted"))
     total, links, groups = nodes.count(), None, None
     for turn in range(ROUNDS):
-        found = _decide(_possible(_pivot_pairs(low, groups, turn), nodes), sets)
+        possible = _possible(_pivot_pairs(low, groups, turn), nodes)
+        found = _decide(possible, sets)
+        release(possible)
         links = found if links is None else links.unionByName(found)
         groups = components(links)
+        settle(docs.sparkSession)
         if found.count() * 2000 < total:
             break
+    release(low)
     settle(docs.sparkSession)
     postings = _postings(docs, classes, parts)
+    settle(docs.sparkSession)
     named = postings.where("node is not null").select("node", "n", "t").join(groups, "node", "left").select("node", "n", "t", F.coalesce("component", "node").alias("g"))
     mixed = named.groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("t")
-    tiles = named.join(mixed, "t").join(nodes.select("node", "bitmap"), "node").select("t", "g", "node", "n", "bitmap")
+    large = named.join(mixed, "t")
+    homes = large.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("t")), 1, HOMES).alias("tiles"))
+    tiles = large.join(homes, "node").join(nodes.select("node", "bitmap"), "node").select("t", "g", "node", "n", "bitmap", "tiles")
     ga, gb = (groups.select(F.col("node").alias(x), F.col("component").alias(f"g{x}")) for x in ("a", "b"))
     small = postings.where("a is not null").select("a", "b").distinct().join(ga, "a", "left").join(gb, "b", "left")
     small = _possible(small.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"), nodes)
     pairs = durable(small.unionByName(_tile_pairs(tiles, parts)).distinct(), "jaccard-candidates")
+    release(small, postings)
+    settle(docs.sparkSession)
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     new = durable(asked.join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "rep"), "node"), "jaccard-wanted")
     links = links.unionByName(_decide(pairs, sets.unionByName(_arrays(docs, new))))
@@ -426,4 +445,6 @@ def link_documents(docs: DataFrame) -> DataFrame:
     of_node = joined.join(least, "component").select("node", "component_id")
     full = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "node").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = rows.where("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(rest)
+    out = durable(full.unionByName(rest), "jaccard-result")
+    release(scan, nodes, pairs)
+    return out
