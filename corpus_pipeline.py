@@ -18,6 +18,8 @@ from dossier.llm import decontaminate, jaccard_join, mixing, quality, sharding
 from dossier.llm.durable import durable
 
 ORACLE_SQL = None
+#: Leaked doc_ids are sent to the tasks up to this many, a few MB.
+MOST_IDS_SENT = 200_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     leaks = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
-    bad = leaks.where("contaminated").select(F.col("doc_id").alias("leaked")).distinct()
+    bad = durable(leaks.where("contaminated").select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
+    if bad.count() <= MOST_IDS_SENT:  # else a shuffled join
+        bad = F.broadcast(bad)
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
 
 
