@@ -15,6 +15,7 @@ Defined results
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import zlib
@@ -149,6 +150,13 @@ class SegmentEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, number of ids of each text)."""
+        gc.disable()  # millions of short-lived strings and lists, none in cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         keys: list = []
         first = np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
