@@ -90,6 +90,33 @@ def test_leaks_and_clean_documents(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_leaks_of_short_and_changed_items_equal_brute_force(spark):
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
+    text = lambda k: " ".join(r.choice(vocab) for _ in range(k))
+    ids = lambda t: decontaminate.word_ids(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]
+    items = [text(m) for m in (5, 5, 5, 8, 8, 8, 16, 16, 40, 40) * 3] + ["one", "the the the the", "the of the of the"]
+    rows = []
+    for i in range(120):
+        w = items[i % len(items)].split()
+        if i % 2:  # 28 % of the words differ
+            for k in r.sample(range(len(w)), int(0.28 * len(w))):
+                w[k] = f"zz{i}"
+        rows.append((i, " ".join([text(r.randint(40, 400)), *w, text(r.randint(0, 90))])))
+    bench = list(enumerate(items))
+
+    def leaks(t):
+        w = ids(t)
+        for n, item in bench:
+            got = max(decontaminate._judge(w, at, ids(item), ids(item).tolist()) for at in range(0, len(w), decontaminate.HALF))
+            if got[0] >= decontaminate.LCS_SHARE and got[1] >= decontaminate.ANSWER_SHARE:
+                yield (n,)
+
+    want = {i for i, t in rows if any(leaks(t))}
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {q.doc_id for q in got.where("contaminated").collect()} == want and len(want) > 90
+
+
 def test_lcs_length():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
