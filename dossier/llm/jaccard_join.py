@@ -16,10 +16,15 @@ afterwards compare only nodes of different groups, so a group's own pairs are no
 emitted again; links between groups stay exact.  A tile of at most ``SMALL`` nodes
 names its pairs at once; larger ones are compared in blocks with their bitmaps.
 
+Every link lies inside one component, so the links of a node are counted at the
+end over all pairs of its component, each pair once, in pairs of blocks of at most
+about ``BLOCK_NODES`` nodes and ``BLOCK_SHINGLES`` shingles.
+
 Defined results
 * null or empty text: no shingles, linked with nothing
 * 1 to 4 words: one shingle of the whole sequence
 * equal doc_ids are one document for the links; every row is returned
+* n_links: other documents with an equal or linked set; a doc_id with several texts counts with each
 * an empty table gives an empty table; extra columns are ignored
 """
 
@@ -41,7 +46,10 @@ FILTER_BITS = 1 << 26
 SMALL = 6
 ROUNDS = 12
 HOMES = 24
+BLOCK_NODES = 1024
+BLOCK_SHINGLES = 1 << 19
 _BLOCK = 512
+_RARE = 48
 
 
 def bitmap_width(n: int) -> int:
@@ -401,12 +409,87 @@ def _tile_pairs(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "t").sortWithinPartitions("t", "n").mapInArrow(run, "a long, b long").distinct()
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection size of every set of ``left`` with every one of ``right``.
+
+    Shingles that few sets hold are counted pair by pair, the others by products of 0/1 matrices.
+    """
+    k, m = len(left), len(right)
+    size = [len(s) for s in left + right]
+    s, r = np.concatenate(left + right), np.repeat(np.arange(k + m), size)
+    order = np.argsort(s, kind="stable")  # rows stay in order inside a shingle
+    s, r = s[order], r[order]
+    edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    many = np.diff(np.append(edge, len(s)))
+    count = np.repeat(many, many)
+    out = np.zeros(k * m, np.int64)
+    rare = (count > 1) & (count <= _RARE)
+    t, row = s[rare], r[rare]
+    for step in range(1, min(_RARE, len(t))):
+        same = np.flatnonzero(t[step:] == t[:-step])
+        if not len(same):
+            break
+        a, b = row[same], row[same + step]
+        cross = (a < k) & (b >= k)
+        out += np.bincount(a[cross] * m + b[cross] - k, minlength=k * m)
+    out = out.reshape(k, m)
+    row, column = r[count > _RARE], np.repeat(np.arange(len(many)), many)[count > _RARE]
+    if len(row):
+        column = np.unique(column, return_inverse=True)[1]
+        for first in range(0, int(column[-1]) + 1, 4096):
+            a, b = np.searchsorted(column, (first, first + 4096))
+            x = np.zeros((k + m, 4096), np.float32)
+            x[row[a:b], column[a:b] - first] = 1
+            out += np.rint(x[:k] @ x[k:].T).astype(np.int64)
+    return out
+
+
+def _count_links(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """(node, linked): documents of all other nodes linked with a node.  ``members``: node, component, copies, n."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        key, held = None, []
+
+        def done():
+            own = [h for h in held if h[0] == key[1]]
+            other = own if key[1] == key[2] else [h for h in held if h[0] == key[2]]
+            if not own or not other:
+                return None
+            x, y = ([np.frombuffer(h[3], np.uint64) for h in side] for side in (own, other))
+            n, m = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+            link = overlaps(x, y) >= need(n[:, None], m[None, :])
+            if own is other:
+                np.fill_diagonal(link, False)
+            sides = [(own, link @ np.array([h[2] for h in other]))] + ([] if own is other else [(other, link.T @ np.array([h[2] for h in own]))])
+            return pa.RecordBatch.from_arrays([pa.array([h[1] for side, _ in sides for h in side], pa.int64()), pa.array(np.concatenate([c for _, c in sides]), pa.int64())], names=["node", "linked"])
+
+        for batch in batches:
+            for c, i, j, *rest in zip(*[batch.column(c).to_pylist() for c in ("component", "i", "j", "block", "node", "copies", "s")]):
+                if (c, i, j) != key:
+                    if key is not None and (out := done()) is not None:
+                        yield out
+                    key, held = (c, i, j), []
+                held.append(rest)
+            textcore.tidy()
+        if key is not None and (out := done()) is not None:
+            yield out
+
+    size = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(size, "component").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    spread = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "copies")
+    rows = spread.join(sets, "node").select("component", "i", "j", "block", "node", "copies", "s")
+    tiles = rows.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return tiles.mapInArrow(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents linked with it)."""
     parts = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     scan = _scan(docs)
     rows = scan.where("part is null").select("doc_id", "n", "node", "low", "bitmap")
-    nodes = durable(rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bitmap").alias("bitmap")), "jaccard-nodes")
+    nodes = durable(rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bitmap").alias("bitmap")), "jaccard-nodes")
     classes = _classes(scan)
     low = _low_tiles(nodes)
     sets = _arrays(docs, durable(low.select("node").distinct().join(nodes.select("node", "rep"), "node"), "jaccard-wanted"))
@@ -437,14 +520,19 @@ def link_documents(docs: DataFrame) -> DataFrame:
     settle(docs.sparkSession)
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     new = durable(asked.join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "rep"), "node"), "jaccard-wanted")
-    links = links.unionByName(_decide(pairs, sets.unionByName(_arrays(docs, new))))
-    release(sets)
+    made = _arrays(docs, new)
+    links = links.unionByName(_decide(pairs, sets.unionByName(made)))
     comp = components(links)
-    joined = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    settle(docs.sparkSession)
+    members = comp.join(nodes.select("node", "copies", "n"), "node")
+    linked = durable(_count_links(members, sets.unionByName(made), parts), "jaccard-linked")
+    release(sets, made)
+    settle(docs.sparkSession)
+    joined = nodes.select("node", "rep", "copies").join(linked, "node", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).join(comp, "node", "left").select("node", "rep", "n_links", F.coalesce("component", "node").alias("component"))
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = joined.join(least, "component").select("node", "component_id")
-    full = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "node").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    rest = rows.where("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    of_node = joined.join(least, "component").select("node", "component_id", "n_links")
+    full = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "node").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    rest = rows.where("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     out = durable(full.unionByName(rest), "jaccard-result")
-    release(scan, nodes, pairs)
+    release(scan, nodes, pairs, linked)
     return out

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import zlib
 
 import numpy as np
@@ -73,6 +74,30 @@ def test_jaccard_join(spark, docs):
     assert jaccard_join.link_documents(corpus.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("nodes, rare", [(1024, 48), (4, 2)])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, nodes, rare):
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", nodes)
+    monkeypatch.setattr(jaccard_join, "_RARE", rare)
+    r = random.Random(6)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    rows = list(corpus.rows())
+    for i in range(40):  # one group of near copies, some of them copied, whose outer members are not linked
+        w = list(base)
+        for k in r.sample(range(len(w)), r.randrange(6)):
+            w[k] = f"c{i}"
+        rows += [(1000 + 3 * i + c, " ".join(w), *rows[0][2:]) for c in range(1 + i % 3)]
+    sets = {}
+    for row in rows:
+        w = corpus.words(row[1])
+        if row[0] is not None:
+            sets[row[0]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    want = {k: sum(1 for o, t in sets.items() if o != k and s and t and 100 * len(s & t) >= 75 * len(s | t)) for k, s in sets.items()}
+    got = jaccard_join.link_documents(spark.createDataFrame(rows, corpus.SCHEMA)).collect()
+    assert len(got) == len(rows)
+    assert all(q.n_links == want.get(q.doc_id, 0) for q in got)
+    assert len({v for k, v in want.items() if k >= 1000}) > 3
+
+
 def test_parity_bitmaps_bound_the_overlap():
     r = np.random.default_rng(0)
     for n, m, both in ((40, 50, 30), (300, 310, 290), (1, 1, 0), (2000, 1500, 1400)):
