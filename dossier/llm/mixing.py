@@ -3,7 +3,8 @@
 Every source takes its documents a whole number of times and then a subset
 whose word counts sum to the rest of its target.  Documents are counted by exact
 length; a proportional share of each length count is taken first, and a bounded
-knapsack over the remaining counts fits what is left of the budget.  Which
+knapsack over the remaining counts fits what is left of the budget, with larger
+tables until the budget is met or all of it is covered.  Which
 documents of a length are taken follows from a seeded hash.
 
 Defined results
@@ -15,6 +16,9 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +27,8 @@ from dossier.llm.durable import durable
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-#: Budget in words that the knapsack table covers; larger rests are cut down by whole lengths first.
+#: Budget in words that the first knapsack table covers; larger rests are cut down by whole lengths first.
+#: Where it misses the budget, tables of twice the size follow, up to one over the whole budget.
 KNAPSACK_WORDS = 1 << 14
 _SPLIT = 256
 
@@ -58,6 +63,19 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, order: list[i
     total = sum(a * b for a, b in zip(lengths, counts))
     if budget >= total:
         return list(counts)
+    unit = math.gcd(*lengths)
+    lengths, budget, total = [a // unit for a in lengths], max(budget, 0) // unit, total // unit
+    while True:
+        take = _fit(lengths, counts, budget, total, order, table)
+        if table >= budget or sum(a * b for a, b in zip(lengths, take)) == budget:
+            return take
+        table *= 2
+
+
+def _fit(lengths: list[int], counts: list[int], budget: int, total: int, order: list[int], table: int) -> list[int]:
+    """The fit of one table; exact where it covers the budget."""
+    if budget <= table:
+        return _cover(lengths, counts, budget, order)
     take = [c * budget // total for c in counts]
     rest = budget - sum(a * b for a, b in zip(lengths, take))
     for i in order:
@@ -67,23 +85,33 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, order: list[i
         if n > 0:
             take[i] += n
             rest -= n * lengths[i]
-    reach, mask, log, left = 1, (1 << (min(rest, table) + 1)) - 1, [], min(rest, table)
+    more = _cover(lengths, [c - n for c, n in zip(counts, take)], min(rest, table), order)
+    return [a + b for a, b in zip(take, more)]
+
+
+def _cover(lengths: list[int], counts: list[int], left: int, order: list[int]) -> list[int]:
+    """The counts of the largest reachable sum up to ``left``; each sum remembers the part that reached it first."""
+    take, parts = [0] * len(lengths), []
+    reach, via = np.zeros(left + 1, bool), np.zeros(left + 1, np.int32)
+    reach[0] = True
     for i in order:
-        room = min(counts[i] - take[i], left // lengths[i])
+        room = min(counts[i], left // lengths[i])
         part = 1
-        while room > 0 and not reach >> left & 1:
+        while room > 0 and not reach[left]:
             n = min(part, room)
-            log.append((i, n, reach))
-            reach |= reach << (n * lengths[i]) & mask
+            x = n * lengths[i]
+            new = np.flatnonzero(reach[: left + 1 - x] & ~reach[x:]) + x
+            reach[new], via[new] = True, len(parts)
+            parts.append((i, n))
             room -= n
             part *= 2
-        if reach >> left & 1:
+        if reach[left]:
             break
-    at = reach.bit_length() - 1
-    for i, n, earlier in reversed(log):
-        if not earlier >> at & 1:
-            take[i] += n
-            at -= n * lengths[i]
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        i, n = parts[via[at]]
+        take[i] += n
+        at -= n * lengths[i]
     return take
 
 

@@ -288,3 +288,20 @@ def test_quality(spark):
     none = quality.score_documents(docs, labels.limit(0))
     assert none.where("kept").count() == docs.count()
     assert quality.score_documents(corpus.empty(spark), labels).count() == 0
+
+
+def test_fit_counts_reaches_the_best_sum_with_long_documents():
+    def words(lengths, counts, budget):
+        take = mixing.fit_counts(lengths, counts, budget, list(range(len(lengths)))[::-1])
+        assert all(0 <= a <= b for a, b in zip(take, counts))
+        return sum(a * b for a, b in zip(lengths, take))
+
+    assert words([200, 60000], [100, 1], 70000) == 70000
+    assert words([90000, 100000], [1, 1], 95000) == 90000
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        lengths, counts = np.unique(r.integers(5000, 60000, 6)).tolist(), r.integers(1, 3, 6).tolist()
+        counts = counts[: len(lengths)]
+        budget = int(r.integers(20000, 150000))
+        sums = [sum(a * b for a, b in zip(lengths, t)) for t in itertools.product(*(range(c + 1) for c in counts))]
+        assert words(lengths, counts, budget) == max(x for x in sums if x <= budget)
