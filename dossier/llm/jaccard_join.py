@@ -9,29 +9,35 @@ the size), and the parity bitmaps of two sets bound their overlap from above:
 the set bits of the XOR never exceed the symmetric difference.  Pairs that pass
 are decided by intersecting the sorted shingle arrays.
 
-Copies collapse first: equal sets are one node.  Then rounds compare every node
-with two seeded pivots per tile of its ``PIVOTS`` lowest shingles, until a round
-joins almost nothing: a near-copy group grows together through few pairs.  Tiles
-afterwards compare only nodes of different groups, so a group's own pairs are not
-emitted again; links between groups stay exact.  A tile of at most ``SMALL`` nodes
-names its pairs at once; larger ones are compared in blocks with their bitmaps.
-
-Every link lies inside one component, so the links of a node are counted at the
-end over all pairs of its component, each pair once, in pairs of blocks of at most
-about ``BLOCK_NODES`` nodes and ``BLOCK_SHINGLES`` shingles.
+Copies collapse first: equal sets are one node.  Then rounds compare a node with
+the seeded pivot of one tile, another of its ``PIVOTS`` lowest shingles each round
+and only while their groups differ, until a round joins almost nothing: a round
+makes at most one pair a node, and a near-copy group grows together through few
+pairs.  Tiles afterwards compare only nodes of different groups, so a group's own
+pairs are not emitted again; links between groups stay exact.  A tile of at most
+``SMALL`` nodes names its pairs at once; larger ones are compared with their
+bitmaps, those above ``TILE_NODES`` in cells: pairs of blocks of one or two
+neighbouring size bands.  The rounds only save work; ``PIVOTS``, ``ROUNDS``,
+``SMALL``, ``HOMES`` and ``TILE_NODES`` shift work between equal ways and lose no pair.
+
+Every link lies inside one component, so the links of a node can be counted
+over all pairs of its component, each pair once, in pairs of blocks of at most
+about ``BLOCK_NODES`` nodes and ``BLOCK_SHINGLES`` shingles.  That count grows with
+the square of a component's different texts; ``count_links=False`` leaves it out.
 
 Defined results
 * null or empty text: no shingles, linked with nothing
 * 1 to 4 words: one shingle of the whole sequence
-* equal doc_ids are one document for the links; every row is returned
+* equal doc_ids are one document: its rows share a component; every row is returned
 * n_links: other documents with an equal or linked set; a doc_id with several texts counts with each
+* a null doc_id is linked with nothing
 * an empty table gives an empty table; extra columns are ignored
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm import textcore
@@ -46,6 +52,7 @@ FILTER_BITS = 1 << 26
 SMALL = 6
 ROUNDS = 12
 HOMES = 24
+TILE_NODES = 1024
 BLOCK_NODES = 1024
 BLOCK_SHINGLES = 1 << 19
 _BLOCK = 512
@@ -235,19 +242,20 @@ def _compatible(a, b):
 
 
 def _low_tiles(nodes: DataFrame) -> DataFrame:
-    """Durable (t, node, n): the lowest shingles that more than one node has."""
+    """Durable (t, node, n, place, many): the lowest shingles that more than one node has, numbered by node."""
     low = nodes.select("node", "n", F.explode("low").alias("t"))
-    many = low.groupBy("t").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("t")
-    return durable(low.join(many, "t"), "jaccard-low")
+    several = low.groupBy("t").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("t")
+    own = Window.partitionBy("node")  # at most PIVOTS rows
+    placed = low.join(several, "t").withColumn("place", F.row_number().over(own.orderBy("t")) - 1).withColumn("many", F.count(F.lit(1)).over(own))
+    return durable(placed.select("t", "node", "n", "place", "many"), "jaccard-low")
 
 
 def _pivot_pairs(low: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
-    """Each node with its tile's two pivots of this round, unless their groups agree."""
+    """Each node with the pivot of one of its tiles, another one each turn, unless their groups agree."""
     tiles = low.withColumn("g", F.col("node")) if groups is None else low.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
     choice = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "g", "node", "n")
-    spread = tiles.groupBy("t").agg(F.array(F.min(choice), F.max(choice)).alias("ps"), F.min("g").alias("g0"), F.max("g").alias("g1"))
-    pivot = spread.where("g0 < g1").select("t", F.explode("ps").alias("p"))
-    met = tiles.join(pivot, "t").where((F.col("g") != F.col("p.g")) & _compatible(F.col("n"), F.col("p.n")))
+    pivot = tiles.groupBy("t").agg(F.min(choice).alias("p"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("t", "p")
+    met = tiles.where(F.lit(turn) % F.col("many") == F.col("place")).join(pivot, "t").where((F.col("g") != F.col("p.g")) & _compatible(F.col("n"), F.col("p.n")))
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
@@ -339,22 +347,48 @@ def _postings(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
     return durable(blobs.mapInArrow(shared_only, "node long, n long, t long, a long, b long"), "jaccard-postings")
 
 
+def _cells(rows: DataFrame) -> DataFrame:
+    """``rows`` (t, node, n, ...) with the cell (t, u, v, i, j) in which a row meets others, and its side.
+
+    A tile of at most TILE_NODES rows is one cell.  A larger one has bands of
+    sizes, so wide that compatible sizes lie in one or two neighbouring ones, and
+    every band has blocks: each pair of blocks of such bands is a cell.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT + 1e-9))).cast("int")
+    large = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > TILE_NODES).select("t")
+    plain = rows.join(large, "t", "left_anti").select("*", *[F.lit(0).alias(x) for x in ("u", "v", "i", "j", "side")])
+    banded = rows.join(large, "t").withColumn("band", band)
+    size = banded.groupBy("t", "band").agg(F.ceil(F.count(F.lit(1)) / TILE_NODES).cast("int").alias("blocks"))
+    near = [size.select("t", (F.col("band") - s).alias("band"), F.col("blocks").alias(f"blocks{s + 1}")) for s in (-1, 0, 1)]
+    met = banded.join(near[1], ["t", "band"]).join(near[0], ["t", "band"], "left").join(near[2], ["t", "band"], "left")
+    met = met.withColumn("b", F.expr("cast(pmod(xxhash64(node), blocks1) as int)"))
+    cell = lambda u, v, i, j, side: F.struct(u.alias("u"), v.alias("v"), i.alias("i"), j.alias("j"), side.alias("side"))
+    others = lambda blocks: F.when(F.coalesce(F.col(blocks), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(blocks) - 1)).otherwise(F.array().cast("array<int>"))
+    here, b = F.col("band"), F.col("b")
+    spread = F.concat(
+        F.transform(others("blocks1"), lambda o: cell(here, here, F.least(b, o), F.greatest(b, o), F.when(b <= o, 0).otherwise(1))),
+        F.transform(others("blocks2"), lambda o: cell(here, here + 1, b, o, F.lit(0))),
+        F.transform(others("blocks0"), lambda o: cell(here - 1, here, o, b, F.lit(1))),
+    )
+    return plain.unionByName(met.withColumn("cell", F.explode(spread)).select(*rows.columns, "cell.*"))
+
+
 def _tile_pairs(rows: DataFrame, parts: int) -> DataFrame:
-    """Pairs of large tiles whose bitmaps allow the threshold.  ``rows``: t, g, node, n, bitmap, tiles.
+    """Pairs of large tiles whose bitmaps allow the threshold.  ``rows``: those of :func:`_cells` with bitmap and tiles.
 
     ``tiles`` lists the HOMES least tiles of a node.  A pair that meets in several is
     named in the least of them, which both lists hold as soon as they share any;
     without a shared one it is named wherever it meets.
     """
 
-    def tile(t, g, node, n, maps, homes):
-        """Nodes of different groups, in size bands, smallest groups against all."""
-        if len(node) < 2 or (g == g[0]).all():
+    def tile(t, apart, g, node, n, maps, homes, side):
+        """Nodes of different groups, in size bands, smallest groups against all; ``apart``: of different sides only."""
+        if len(node) < 2 or (g == g[0]).all() or apart and (side == side[0]).all():
             return None
         _, at, many = np.unique(g, return_inverse=True, return_counts=True)
         order = np.lexsort((n, at, many[at]))
         g, node, n, maps = g[order], node[order], n[order], [maps[k] for k in order]
-        homes = [homes[k] for k in order]
+        homes, side = [homes[k] for k in order], side[order]
         width = np.array([len(m) for m in maps])
         last = int(np.flatnonzero(g != g[-1])[-1])  # from here on all rows are one group
         out = []
@@ -364,6 +398,8 @@ def _tile_pairs(rows: DataFrame, parts: int) -> DataFrame:
                 rows_y = np.arange(y, min(y + _BLOCK, len(node)))
                 nx, ny = n[rows_x][:, None], n[rows_y][None, :]
                 ok = (g[rows_x][:, None] != g[rows_y][None, :]) & _compatible(nx, ny) & (rows_x[:, None] < rows_y[None, :])
+                if apart:
+                    ok &= side[rows_x][:, None] != side[rows_y][None, :]
                 a, b = np.nonzero(ok)
                 if not len(a):
                     continue
@@ -391,22 +427,27 @@ def _tile_pairs(rows: DataFrame, parts: int) -> DataFrame:
         key, held = None, []
 
         def done():
-            pairs = tile(key, np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held]), [np.frombuffer(h[3], np.uint64) for h in held], [set(h[4]) for h in held]) if len(held) > 1 else None
+            if len(held) < 2:
+                return None
+            g, node, n, side = (np.array([h[k] for h in held]) for k in (0, 1, 2, 5))
+            pairs = tile(key[0], key[1] != key[2] or key[3] != key[4], g, node, n, [np.frombuffer(h[3], np.uint64) for h in held], [set(h[4]) for h in held], side)
             if pairs is None or not len(pairs):
                 return None
             return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
 
         for batch in batches:
-            for t, *rest in zip(*[batch.column(c).to_pylist() for c in ("t", "g", "node", "n", "bitmap", "tiles")]):
-                if t != key:
+            columns = [batch.column(c).to_pylist() for c in ("t", "u", "v", "i", "j", "g", "node", "n", "bitmap", "tiles", "side")]
+            for t, u, v, i, j, *rest in zip(*columns):
+                if (t, u, v, i, j) != key:
                     if (out := done()) is not None:
                         yield out
-                    key, held = t, []
+                    key, held = (t, u, v, i, j), []
                 held.append(rest)
         if (out := done()) is not None:
             yield out
 
-    return rows.repartition(parts, "t").sortWithinPartitions("t", "n").mapInArrow(run, "a long, b long").distinct()
+    cell = ["t", "u", "v", "i", "j"]
+    return rows.repartition(parts, *cell).sortWithinPartitions(*cell, "n").mapInArrow(run, "a long, b long").distinct()
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -484,39 +525,48 @@ def _count_links(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     return tiles.mapInArrow(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents linked with it)."""
+def _same_document(rows: DataFrame) -> DataFrame:
+    """(a, b): nodes that rows of one doc_id hold."""
+    several = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
+    return rows.join(several, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct()
+
+
+def link_documents(docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and, if asked for, n_links (documents linked with it)."""
     parts = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     scan = _scan(docs)
     rows = scan.where("part is null").select("doc_id", "n", "node", "low", "bitmap")
-    nodes = durable(rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bitmap").alias("bitmap")), "jaccard-nodes")
+    full = rows.where("n > 0 and doc_id is not null")
+    nodes = durable(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bitmap").alias("bitmap")), "jaccard-nodes")
     classes = _classes(scan)
     low = _low_tiles(nodes)
     sets = _arrays(docs, durable(low.select("node").distinct().join(nodes.select("node", "rep"), "node"), "jaccard-wanted"))
-    total, links, groups = nodes.count(), None, None
+    total, links = nodes.count(), durable(_same_document(full.select("doc_id", "node")), "jaccard-pairs")
+    groups = None
     for turn in range(ROUNDS):
         possible = _possible(_pivot_pairs(low, groups, turn), nodes)
         found = _decide(possible, sets)
         release(possible)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         groups = components(links)
         settle(docs.sparkSession)
-        if found.count() * 2000 < total:
+        if found.count() * 2000 <= total:
             break
+    groups = components(links) if groups is None else groups
     release(low)
     settle(docs.sparkSession)
     postings = _postings(docs, classes, parts)
     settle(docs.sparkSession)
     named = postings.where("node is not null").select("node", "n", "t").join(groups, "node", "left").select("node", "n", "t", F.coalesce("component", "node").alias("g"))
     mixed = named.groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("t")
-    large = named.join(mixed, "t")
+    large = durable(named.join(mixed, "t").select("t", "g", "node", "n"), "jaccard-tiles")
     homes = large.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("t")), 1, HOMES).alias("tiles"))
-    tiles = large.join(homes, "node").join(nodes.select("node", "bitmap"), "node").select("t", "g", "node", "n", "bitmap", "tiles")
+    cells = _cells(large).join(homes, "node").join(nodes.select("node", "bitmap"), "node")
     ga, gb = (groups.select(F.col("node").alias(x), F.col("component").alias(f"g{x}")) for x in ("a", "b"))
     small = postings.where("a is not null").select("a", "b").distinct().join(ga, "a", "left").join(gb, "b", "left")
     small = _possible(small.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"), nodes)
-    pairs = durable(small.unionByName(_tile_pairs(tiles, parts)).distinct(), "jaccard-candidates")
-    release(small, postings)
+    pairs = durable(small.unionByName(_tile_pairs(cells, parts)).distinct(), "jaccard-candidates")
+    release(small, postings, large)
     settle(docs.sparkSession)
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     new = durable(asked.join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "rep"), "node"), "jaccard-wanted")
@@ -524,15 +574,19 @@ def link_documents(docs: DataFrame) -> DataFrame:
     links = links.unionByName(_decide(pairs, sets.unionByName(made)))
     comp = components(links)
     settle(docs.sparkSession)
-    members = comp.join(nodes.select("node", "copies", "n"), "node")
-    linked = durable(_count_links(members, sets.unionByName(made), parts), "jaccard-linked")
+    joined, more = nodes.select("node", "rep", "copies"), []
+    if count_links:
+        members = comp.join(nodes.select("node", "copies", "n"), "node")
+        linked = durable(_count_links(members, sets.unionByName(made), parts), "jaccard-linked")
+        joined = joined.join(linked, "node", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1)
+        more = ["n_links"]
     release(sets, made)
     settle(docs.sparkSession)
-    joined = nodes.select("node", "rep", "copies").join(linked, "node", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).join(comp, "node", "left").select("node", "rep", "n_links", F.coalesce("component", "node").alias("component"))
+    joined = joined.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"), *more)
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = joined.join(least, "component").select("node", "component_id", "n_links")
-    full = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "node").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    rest = rows.where("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    out = durable(full.unionByName(rest), "jaccard-result")
-    release(scan, nodes, pairs, linked)
+    of_node = joined.join(least, "component").select("node", "component_id", *more)
+    own = full.select("doc_id", "n", "node").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)
+    rest = rows.where("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(x) for x in more])
+    out = durable(own.unionByName(rest), "jaccard-result")
+    release(scan, nodes, pairs, *([linked] if count_links else []))
     return out
