@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -46,6 +47,27 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that no column of ``df`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A durable copy of ``df`` whose rows carry a number, and the name of its column.
+
+    The numbers are written once, so that every later read tells the same rows apart by them.
+    """
+    row = fresh(df, "row")[0]
+    return durable(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by :func:`durable` that no later result reads."""
     for t in tables:

@@ -12,6 +12,7 @@ Defined results
 * a null source is a source of its own, last in order
 * a document of size 0 fills no budget and is taken as often as its whole source
 * an empty table gives an empty table; repeated rows count each
+* sources are few: their totals, one row each, are shared out in one task
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.durable import durable
+from dossier.llm.durable import durable, fresh, numbered
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -140,7 +141,8 @@ def _plan(sizes: DataFrame, seed: int) -> DataFrame:
         more = fit_counts(lengths, n, round(target - whole * have), sorted(key, key=lambda i: (-lengths[i].bit_length(), key[i])))
         out = pdf[["source", "size", "n", "source_size", "target"]].copy()
         out["whole"] = whole
-        out["more"] = [dict(zip(lengths, more)).get(int(x), 0) for x in out["size"]]
+        extra = dict(zip(lengths, more))
+        out["more"] = [extra.get(int(x), 0) for x in out["size"]]
         return out
 
     fitted = plan.groupBy("source").applyInPandas(fit, "source string, size long, n long, source_size long, target double, whole int, more long")
@@ -162,14 +164,10 @@ def _plan(sizes: DataFrame, seed: int) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The mixed documents themselves: each row as often as the mix takes it.
-
-    Rows are told apart by their place in the scan, so ``docs`` must read the
-    same rows in the same order each time, as a written table does.
-    """
-    placed = docs.withColumn("mix_row", F.monotonically_increasing_id())
+    """The mixed documents themselves: each row as often as the mix takes it; extra columns stay."""
+    placed, row = numbered(docs, "mix-rows")
+    times, copy = fresh(placed, "times", "copy")
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    plan = _plan(placed.select("doc_id", "source", size.alias("size"), F.col("mix_row").alias("row")), seed)
-    p = plan.where("times > 0").select(F.col("row").alias("mix_row"), "times")
-    copies = placed.join(p, "mix_row").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return copies.select(*docs.columns)
+    plan = _plan(placed.select("doc_id", "source", size.alias("size"), F.col(row).alias("row")), seed)
+    taken = plan.where("times > 0").select(F.col("row").alias(row), F.col("times").alias(times))
+    return placed.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -14,9 +14,9 @@ is scored over its whole text.
 
 Defined results
 * null text: no evidence, so the site posterior decides; null host or path: a site of its own
-* null labels are ignored; several labels of a document all count
+* null labels are ignored; several labels of a document all count in the rates, and the fit takes the greatest of them
 * no labels at all: probability 1/2 for both targets and every document is kept
-* repeated rows are scored each; an empty table gives an empty table
+* repeated rows are scored each; an empty table gives an empty table; extra columns stay, whatever their names
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import textcore
-from dossier.llm.durable import durable
+from dossier.llm.durable import durable, fresh, release
 
+TARGETS = ("quality", "toxic")
 FIT_ROWS = 12_000
 BINS = 1 << 20
 CHI2 = 30.0
@@ -114,16 +115,41 @@ def fit_logistic(feats: np.ndarray, first: np.ndarray, y: np.ndarray, bins: int
     return out, b
 
 
-def _rates(labels: DataFrame, target: str, site: list[str], under: str | None, prior: float) -> DataFrame:
-    """Posterior rate per site; ``under`` names the column with the parent's rate."""
-    base = F.col(under) if under else F.lit(prior)
-    g = labels.where(F.col(target).isNotNull()).groupBy(*site, *([under] if under else [])).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("double")).alias("k"))
-    spread = F.when(F.sum("n") > 0, F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - base, 2)) / F.sum("n"))
-    noise = F.sum(base * (1 - base)) / F.sum("n")
-    moments = g.agg(spread.alias("v"), noise.alias("e"), (F.sum(F.col("n") * base * (1 - base)) / F.sum("n")).alias("u")).first()
-    between = (moments.v or 0.0) - (moments.e or 0.0)
-    strength = min(max((moments.u or 0.25) / between - 1, 1.0), _RARE_SITE) if between > 1e-12 else _RARE_SITE
-    return g.select(*site, ((F.col("k") + strength * base) / (F.col("n") + strength)).alias(f"{target}_{'path' if under else 'host'}"))
+def _strength(sites: DataFrame, base: dict) -> dict:
+    """How far the rates of sites shrink to ``base`` (a column per target), from their spread beyond chance."""
+    parts = []
+    for t in TARGETS:
+        n, k, b = F.col(f"n_{t}"), F.col(f"k_{t}"), base[t]
+        off = F.when(n > 0, n * F.pow(k / n - b, 2))
+        parts += [F.sum(n).alias(f"n_{t}"), F.sum(off).alias(f"v_{t}"), F.sum(F.when(n > 0, b * (1 - b))).alias(f"e_{t}"), F.sum(n * b * (1 - b)).alias(f"u_{t}")]
+    m, out = sites.agg(*parts).first(), {}
+    for t in TARGETS:
+        n = m[f"n_{t}"] or 0
+        between = ((m[f"v_{t}"] or 0.0) - (m[f"e_{t}"] or 0.0)) / n if n else 0.0
+        out[t] = min(max(m[f"u_{t}"] / n / between - 1, 1.0), _RARE_SITE) if between > 1e-12 else _RARE_SITE
+    return out
+
+
+def site_rates(labelled: DataFrame) -> tuple[DataFrame, dict]:
+    """Durable (host, path, quality_host, quality_path, toxic_host, toxic_path) and the global rates.
+
+    ``labelled``: host, path, quality, toxic.  One pass sums the labels by path;
+    hosts, spreads and posteriors come from that table.
+    """
+    sums = [f(t) for t in TARGETS for f in (lambda t: F.count(t).alias(f"n_{t}"), lambda t: F.sum(F.col(t).cast("double")).alias(f"k_{t}"))]
+    paths = durable(labelled.groupBy("host", "path").agg(*sums).na.fill(0.0, [f"k_{t}" for t in TARGETS]), "quality-labels")
+    again = [F.sum(c).alias(c) for c in paths.columns[2:]]
+    total = paths.agg(*again).first()
+    prior = {t: total[f"k_{t}"] / total[f"n_{t}"] if total[f"n_{t}"] else 0.5 for t in TARGETS}
+    hosts = paths.groupBy("host").agg(*again)
+    of_host = _strength(hosts, {t: F.lit(prior[t]) for t in TARGETS})
+    hosts = hosts.select(F.col("host").alias("h"), *[((F.col(f"k_{t}") + of_host[t] * prior[t]) / (F.col(f"n_{t}") + of_host[t])).alias(f"{t}_host") for t in TARGETS])
+    under = paths.join(hosts, paths.host.eqNullSafe(hosts.h)).drop("h")
+    of_path = _strength(under, {t: F.col(f"{t}_host") for t in TARGETS})
+    rate = [((F.col(f"k_{t}") + of_path[t] * F.col(f"{t}_host")) / (F.col(f"n_{t}") + of_path[t])).alias(f"{t}_path") for t in TARGETS]
+    out = durable(under.select("host", "path", *[f"{t}_host" for t in TARGETS], *rate), "quality-sites")
+    release(paths)
+    return out, prior
 
 
 def _logit(p: Column) -> Column:
@@ -153,7 +179,7 @@ def _fit(docs: DataFrame, labels: DataFrame, fit_rows: int, bins: int):
     each = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["f"]]
     feats, first = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
     models = {}
-    for target in ("quality", "toxic"):
+    for target in TARGETS:
         y = (rows[target].to_numpy() > 0).astype(float)
         w, b = fit_logistic(feats, first, y, bins) if 0 < y.mean() < 1 else (np.zeros(bins), 4.0 if y.mean() else -4.0)
         models[target] = w.astype(np.float32), float(b)
@@ -169,22 +195,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
     model = _fit(docs, seen, fit_rows, bins)
     if model is None:
         return docs.select(*own, F.lit(0.5).alias("p_quality"), F.lit(0.5).alias("p_toxic"), F.lit(True).alias("kept"))
-    sites = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"))
-    labelled = sites.join(seen, "doc_id")
-    prior = {t: labelled.agg(F.avg(F.col(t).cast("double"))).first()[0] or 0.5 for t in model}
-    table = labelled.select("host", "path").distinct()
-    for t in model:
-        by_host = _rates(labelled, t, ["host"], None, prior[t])
-        h = by_host.withColumnRenamed("host", "h1")
-        joined = labelled.join(h, labelled.host.eqNullSafe(h.h1), "left").drop("h1").na.fill({f"{t}_host": prior[t]})
-        by_path = _rates(joined, t, ["host", "path"], f"{t}_host", prior[t])
-        p = by_path.withColumnRenamed("host", "h2").withColumnRenamed("path", "p2")
-        table = table.join(h, table.host.eqNullSafe(h.h1), "left").drop("h1").join(p, F.col("host").eqNullSafe(F.col("h2")) & F.col("path").eqNullSafe(F.col("p2")), "left").drop("h2", "p2")
-    table = durable(table, "quality-sites")
+    labelled = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path")).join(seen, "doc_id").select("host", "path", "quality", "toxic")
+    table, prior = site_rates(labelled)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     odds_of = {t: min(max(p, 1e-6), 1 - 1e-6) for t, p in prior.items()}
     plain = {t: math.log(p / (1 - p)) for t, p in odds_of.items()}  # without evidence
-    schema = docs.select(*own).schema.add("ev_quality", "double").add("ev_toxic", "double")
+    evidence_of = dict(zip(TARGETS, fresh(docs, "evidence_quality", "evidence_toxic")))
+    schema = docs.select(*own).schema
+    for name in evidence_of.values():
+        schema = schema.add(name, "double")
 
     def evidence(batches):
         import pyarrow as pa
@@ -193,18 +212,21 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
         for batch, i, j, data, offsets in textcore.text_pieces(batches):
             feats, first = _features(data, offsets, bins)
             some = np.diff(first) > 0
-            z = [np.where(some, _sums(m[t][0][feats], first) + m[t][1], plain[t]) for t in ("quality", "toxic")]
-            yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *map(pa.array, z)], names=[*own, "ev_quality", "ev_toxic"])
+            z = [np.where(some, _sums(m[t][0][feats], first) + m[t][1], plain[t]) for t in TARGETS]
+            yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *map(pa.array, z)], names=schema.names)
 
     scored = docs.select(*own).mapInArrow(evidence, schema)
-    t = table.select(F.col("host").alias("h9"), F.col("path").alias("p9"), "quality_host", "quality_path", "toxic_host", "toxic_path")
-    hosts = t.groupBy("h9").agg(F.first("quality_host", True).alias("quality_any"), F.first("toxic_host", True).alias("toxic_any"))
+    h, p, *rates = fresh(scored, "site_host", "site_path", "path_quality", "path_toxic", "host_quality", "host_toxic")
+    of_path, of_host = dict(zip(TARGETS, rates[:2])), dict(zip(TARGETS, rates[2:]))
+    paths = table.select(F.col("host").alias(h), F.col("path").alias(p), *[F.col(f"{t}_path").alias(of_path[t]) for t in TARGETS])
+    hosts = table.groupBy(F.col("host").alias(h)).agg(*[F.first(f"{t}_host").alias(of_host[t]) for t in TARGETS])
     if table.count() <= MOST_SITES_SENT:  # else a shuffled join
-        t, hosts = F.broadcast(t), F.broadcast(hosts)
-    met = scored.join(t, scored[host].eqNullSafe(t.h9) & scored[path].eqNullSafe(t.p9), "left").drop("h9", "p9", "quality_host", "toxic_host")
-    met = met.join(hosts, met[host].eqNullSafe(hosts.h9), "left").drop("h9")
-    for name in ("quality", "toxic"):
-        site = F.coalesce(f"{name}_path", f"{name}_any", F.lit(prior[name]))
-        odds = F.col(f"ev_{name}") + _logit(site) - _logit(F.lit(prior[name]))
-        met = met.withColumn(f"p_{name}", 1 / (1 + F.exp(-odds)))
-    return met.select(*own, "p_quality", "p_toxic", ((F.col("p_quality") >= 0.5) & (F.col("p_toxic") < TOXIC_LIMIT)).alias("kept"))
+        paths, hosts = F.broadcast(paths), F.broadcast(hosts)
+    met = scored.join(paths, scored[host].eqNullSafe(paths[h]) & scored[path].eqNullSafe(paths[p]), "left").drop(h, p)
+    met = met.join(hosts, met[host].eqNullSafe(hosts[h]), "left").drop(h)
+    chance = {}
+    for t in TARGETS:
+        site = F.coalesce(of_path[t], of_host[t], F.lit(prior[t]))
+        chance[t] = 1 / (1 + F.exp(_logit(F.lit(prior[t])) - F.col(evidence_of[t]) - _logit(site)))
+    out = met.select(*own, chance["quality"].alias("p_quality"), chance["toxic"].alias("p_toxic"))
+    return out.withColumn("kept", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < TOXIC_LIMIT))

@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from dossier.llm import chat_format, components, decontaminate, embed_dedup
+from dossier.llm import chat_format, components, decontaminate, durable, embed_dedup, quality
 from tests.llm import corpus
 
 
@@ -141,10 +142,119 @@ def test_components(spark, monkeypatch, block):
     assert components.components(df.limit(0)).count() == 0
 
 
-def test_pipeline_stages(spark, sf):
+EXTRA = ["n_chars", "row", "Key", "lead", "cell", "depth", "fits", "ordinal", "times", "copy", "leaked", "quality_path", "evidence_quality", "site_host", "h9", "words", "component_id", "size"]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("tables")
+    ids = [r[0] for r in corpus.rows() if r[0] is not None]
+    spark.createDataFrame([(i, int(i % 9 != 1), 0) for i in ids[::2]] + [(None, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, corpus.rows()[4][1] or "none"), (2, " ".join(f"leak{i}" for i in range(30))), (3, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d)
+
+
+def _stage_rows(spark):
+    """Null ids of clean, copied and leaked texts, one id with two texts, repeated rows, and columns of clashing names."""
+    leak = " ".join(f"leak{i}" for i in range(30))
+    other = [f"other{i}" for i in range(40)]
+    rows = [tuple(r[:4]) for r in corpus.rows()]
+    rows += [(None, leak, "s1", "en"), (None, " ".join(other), "s1", "en"), (None, " ".join(other[:39]), "s1", "en"), (900, leak + " x", "s1", "en")]
+    rows += [(901, " ".join(f"p{i}" for i in range(30)), None, None), (901, " ".join(f"q{i}" for i in range(30)), None, None), (902, "Same row", "s2", "en"), (902, "Same row", "s2", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for i, c in enumerate(EXTRA):
+        df = df.withColumn(c, F.lit(i))
+    return df, rows
+
+
+def test_every_stage_takes_hard_rows(spark, folder):
+    import corpus_pipeline
+
+    df, rows = _stage_rows(spark)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, df, folder)
+        assert out.columns[: len(df.columns)] == df.columns and (k == 4 or out.columns == df.columns)
+        assert {tuple(r[c] for c in EXTRA) for r in out.collect()} == {tuple(range(len(EXTRA)))}
+        none = stage(spark, df.limit(0), folder)
+        assert none.count() == 0 and none.columns == out.columns
+    assert sorted(map(str, corpus_pipeline.shard(spark, df, folder).select("doc_id", "text").collect())) == sorted(map(str, df.select("doc_id", "text").collect()))
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark, folder):
+    import corpus_pipeline
+
+    df, rows = _stage_rows(spark)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, folder).select("doc_id", "text").collect()]
+    sets = []
+    for r in rows:
+        w = corpus.words(r[1])
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    best = {}
+    for g, r in zip(group, rows):
+        best[g] = min(best.get(g, (True, float("inf"))), (r[0] is None, r[0] if r[0] is not None else 0))
+    assert sorted(str(None if n else i) for n, i in best.values()) == sorted(str(r[0]) for r in got)
+    assert sorted(str(r) for r in got if r[0] == 901) == sorted(str(tuple(r[:2])) for r in rows if r[0] == 901)
+
+
+def test_decontamination_drops_leaked_rows_alone(spark, folder):
     import corpus_pipeline
 
-    from dossier.llm import jaccard_join, quality
+    df, rows = _stage_rows(spark)
+    got = sorted(str(tuple(r)) for r in corpus_pipeline.decontamination(spark, df, folder).select("doc_id", "text").collect())
+    item = corpus.rows()[4][1]
+    want = sorted(str(tuple(r[:2])) for r in rows if not (r[1] or "").startswith("leak0") and r[1] != item)
+    assert got == want and sum(r.startswith("(None") for r in got) == sum(r[0] is None for r in rows) - 1
+
+
+def test_classifier_without_toxic_labels_keeps_new_sites(spark):
+    ids = list(range(60))
+    text = lambda i: ("good plain words here " if i % 2 else "buy buy now !!! ") * 6
+    docs = spark.createDataFrame([(i, text(i), "s0", "en") for i in ids] + [(100, None, "new", "fr"), (101, "", None, None)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in ids] + [(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.score_documents(docs, labels).collect()}
+    assert got[100].p_toxic < 0.01 and got[101].p_toxic < 0.01
+    assert all(got[i].kept == bool(i % 2) for i in ids)
+
+
+def test_site_rates_equal_the_formula(spark):
+    r = random.Random(4)
+    rows = [(r.choice("abc"), r.choice(["x", "y", None]), r.choice([0, 1, 1, None]), r.choice([0, 0, 1])) for _ in range(300)] + [(None, None, 1, 0), ("lone", "x", None, 0)]
+    table, prior = quality.site_rates(spark.createDataFrame(rows, "host string, path string, quality int, toxic int"))
+    got = {(t.host, t.path): t for t in table.collect()}
+    for at, name in ((2, "quality"), (3, "toxic")):
+        def rates(groups, base):
+            n = {g: sum(1 for x in rows if groups(x) == g and x[at] is not None) for g in map(groups, rows)}
+            k = {g: sum(x[at] for x in rows if groups(x) == g and x[at] is not None) for g in n}
+            total = sum(n.values())
+            spread = sum(n[g] * (k[g] / n[g] - base(g)) ** 2 for g in n if n[g]) / total
+            between = spread - sum(base(g) * (1 - base(g)) for g in n if n[g]) / total
+            s = min(max(sum(n[g] * base(g) * (1 - base(g)) for g in n) / total / between - 1, 1.0), 1e6) if between > 1e-12 else 1e6
+            return {g: (k[g] + s * base(g)) / (n[g] + s) for g in n}
+
+        known = [x[at] for x in rows if x[at] is not None]
+        p = sum(known) / len(known)
+        hosts = rates(lambda x: x[0], lambda g: p)
+        paths = rates(lambda x: (x[0], x[1]), lambda g: hosts[g[0]])
+        assert abs(prior[name] - p) < 1e-12 and set(got) == set(paths)
+        for g, v in paths.items():
+            assert abs(got[g][f"{name}_path"] - v) < 1e-9 and abs(got[g][f"{name}_host"] - hosts[g[0]]) < 1e-9
+
+
+def test_verbatim_items_in_tiny_corpora(spark):
+    items = [(1, "what is the capital of the small country by the sea"), (2, " ".join(f"w{i}" for i in range(200)))]
+    docs = spark.createDataFrame([(1, items[0][1]), (2, "nothing of note stands here"), (3, "before " + items[1][1] + " after " + items[0][1])], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [got[i].contaminated for i in (1, 2, 3)] == [True, False, True]
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     sizes = []
@@ -153,14 +263,8 @@ def test_pipeline_stages(spark, sf):
         if k == 0:
             scored = quality.score_documents(docs, spark.read.parquet(f"{sf}/labels.parquet"))
             assert out.count() == scored.where("kept").count()
-        if k == 1:
-            linked = jaccard_join.link_documents(docs)
-            assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in linked.where("doc_id = component_id").collect())
         if k < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
-        from dossier.llm.durable import durable
-
-        docs = durable(out, "test-stage")
+        docs = durable.durable(out, "test-stage")
         sizes.append(docs.count())
     assert sizes[0] >= sizes[1] >= sizes[2] > 0 and sizes[3] == sizes[4]
-    assert corpus.rows()
