@@ -4,6 +4,10 @@ Every stage takes (spark, docs, sf_dir), works on all rows its predecessor
 kept, and returns a frame that :func:`run` writes as Parquet and reads again.
 All but the last return the columns of documents.
 
+Each stage takes null ids, null and empty texts, repeated rows, repeated ids and
+extra columns of any name, keeps the columns it gets, and gives an empty table
+for an empty one.
+
 SQL cannot express the chain (a trained classifier, a latent index and a
 knapsack), so ORACLE_SQL is None and tests check each stage against a plain
 version on small inputs.
@@ -15,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import decontaminate, jaccard_join, mixing, quality, sharding
-from dossier.llm.durable import durable
+from dossier.llm.durable import durable, numbered
 
 ORACLE_SQL = None
-#: Leaked doc_ids are sent to the tasks up to this many, a few MB.
-MOST_IDS_SENT = 200_000
+#: Numbers of leaked rows are sent to the tasks up to this many, a few MB.
+MOST_ROWS_SENT = 200_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,39 +31,43 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps; every row is judged by itself."""
     scored = quality.score_documents(docs, _table(spark, sf_dir, "labels"))
     return scored.where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id.
+    """One row of each near-duplicate group: the one with the smallest doc_id, a null one last.
 
-    Rows that repeat a doc_id are one document, of which one row stays; rows
-    without a doc_id stay.
+    Rows are told apart by a written number, so different texts of one doc_id
+    and texts without a doc_id are documents like all others.  Rows without a
+    word are linked with nothing and stay.
     """
-    linked = jaccard_join.link_documents(docs)
-    stays = linked.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    rows, row = numbered(docs, "stage-rows")
+    linked = jaccard_join.link_documents(rows.select(F.col(row).alias("doc_id"), "text"), count_links=False)
+    named = rows.select(F.col(row).alias("r"), F.col("doc_id").alias("d"), F.xxhash64(*docs.columns).alias("h"))
+    met = linked.select(F.col("doc_id").alias("r"), "component_id").join(named, "r")
+    first = met.groupBy("component_id").agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "h", "r")).alias("least"))
+    return rows.join(first.select(F.col("least.r").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
-    bad = durable(leaks.where("contaminated").select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
-    if bad.count() <= MOST_IDS_SENT:  # else a shuffled join
+    """Rows whose text holds no benchmark item; every row is judged by itself."""
+    rows, row = numbered(docs, "stage-rows")
+    leaks = decontaminate.find_leaks(rows.select(F.col(row).alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark"))
+    bad = durable(leaks.where("contaminated").select(F.col("doc_id").alias(row)), "leaked")
+    if bad.count() <= MOST_ROWS_SENT:  # else a shuffled join
         bad = F.broadcast(bad)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes them."""
+    """The rows that the mix takes, each as often as it takes them; null sources are a source."""
     return mixing.apply_mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard."""
+    """All rows with their shard."""
     return sharding.assign_shards(docs)
 
 
