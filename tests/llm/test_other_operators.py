@@ -91,7 +91,7 @@ def test_leaks_and_clean_documents(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_leaks_of_short_and_changed_items_equal_brute_force(spark):
+def test_leaks_of_short_and_changed_items_equal_brute_force(spark, monkeypatch):
     r = random.Random(8)
     vocab = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
     text = lambda k: " ".join(r.choice(vocab) for _ in range(k))
@@ -109,13 +109,14 @@ def test_leaks_of_short_and_changed_items_equal_brute_force(spark):
     def leaks(t):
         w = ids(t)
         for n, item in bench:
-            got = max(decontaminate._judge(w, at, ids(item), ids(item).tolist()) for at in range(0, len(w), decontaminate.HALF))
-            if got[0] >= decontaminate.LCS_SHARE and got[1] >= decontaminate.ANSWER_SHARE:
-                yield (n,)
+            if any(decontaminate._judge(w, at, ids(item), ids(item).tolist())[0] for at in range(0, len(w), decontaminate.HALF)):
+                yield n
 
-    want = {i for i, t in rows if any(leaks(t))}
-    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
-    assert {q.doc_id for q in got.where("contaminated").collect()} == want and len(want) > 90
+    want = {i: found for i, t in rows if (found := sorted(leaks(t)))}
+    for block in (decontaminate.ITEM_BLOCK, 10):
+        monkeypatch.setattr(decontaminate, "ITEM_BLOCK", block)
+        got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+        assert {q.doc_id: q.item_ids for q in got.where("contaminated").collect()} == want and len(want) > 90
 
 
 def test_lcs_length():
@@ -250,7 +251,19 @@ def test_verbatim_items_in_tiny_corpora(spark):
     items = [(1, "what is the capital of the small country by the sea"), (2, " ".join(f"w{i}" for i in range(200)))]
     docs = spark.createDataFrame([(1, items[0][1]), (2, "nothing of note stands here"), (3, "before " + items[1][1] + " after " + items[0][1])], "doc_id long, text string")
     got = {r.doc_id: r for r in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert [got[i].contaminated for i in (1, 2, 3)] == [True, False, True]
+    assert [got[i].item_ids for i in (1, 2, 3)] == [[1], [], [1, 2]]
+
+
+def test_unbroken_head_of_an_item_counts_without_its_answer(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    item = [word() for _ in range(60)]
+    rest = [word() for _ in range(80)]
+    broken = [x for k, w in enumerate(item[:44]) for x in ([w, "zz"] if k % 3 == 0 else [w])]
+    rows = [(1, " ".join(rest + item[:44] + rest)), (2, " ".join(rest + broken + rest)), (3, " ".join(rest + item[:30] + rest)), (1, " ".join(item)), (1, " ".join(rest))]
+    bench = spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item)), (8, " ".join(item))], "item_id long, text string")
+    got = sorted((q.doc_id, q.contaminated, q.item_id if q.contaminated else None, tuple(q.item_ids)) for q in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect())
+    assert got == sorted([(1, True, 7, (7, 8)), (1, True, 7, (7, 8)), (1, False, None, ()), (2, False, None, ()), (3, False, None, ())], key=lambda x: (x[0], x[1]))
 
 
 def test_pipeline_stages(spark, sf):
