@@ -1,5 +1,8 @@
 """Offset-exact chunking: fixed size in closed form, natural boundaries in Arrow batches.
 
+Chunks are array expressions over their document's row: the text is read once,
+cut where it is read and then exploded, so chunking shuffles nothing.
+
 ``documents``: document_id, text, and optionally sections and content (arrays of
 structs with start_char and end_char).  Offsets are code points, 0-based, end
 exclusive.
@@ -8,19 +11,22 @@ exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import asdict, dataclass
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.ids import digest, record_digest
 
 VERSION = "1"
 STRATEGIES = ("fixed_size", "recursive", "sections")
-# The boundary classes in order of preference.
-BOUNDARIES = (r"\n\s*\n", r"\n", r"[.!?][”’\"')]*\s+", r"\s+")
-_COMPILED = tuple(map(re.compile, BOUNDARIES))
+# The boundary classes in order of preference are blank lines, line ends, sentence ends and white space.
+SENTENCE_END = re.compile(r"[.!?][”’\"')]*\s+")
+_SPACE = re.compile(r"\s+")
+_SPANS = "array<struct<unit_index:int,unit_chunk_index:int,chunk_index:int,start_char:int,end_char:int,text:string>>"
 
 
 @dataclass(frozen=True)
@@ -70,68 +76,107 @@ def fixed_spans(length: Column, c: ChunkingConfig) -> Column:
     return F.when(length > 0, F.transform(F.sequence(F.lit(0), last), span)).otherwise(F.array().cast("array<struct<chunk_index:int,start_char:int,end_char:int>>"))
 
 
-def natural_spans(text: str, begin: int, end: int, c: ChunkingConfig) -> list[tuple[int, int]]:
-    """Spans of [begin, end) that stop at the rightmost boundary of the best class present."""
-    out = []
-    at = begin
-    least = max(c.overlap + 1, int(c.size * c.boundary_fraction))
-    while at < end:
+class Boundaries:
+    """Where a text may be cut, found in one pass and searched by position."""
+
+    def __init__(self, text: str):
+        runs = [m.span() for m in _SPACE.finditer(text)]
+        self.starts, self.ends = [a for a, _ in runs], [b for _, b in runs]
+        self.lines = [i for a, b in runs for i in range(a, b) if text[i] == "\n"]
+        #: Where the mark before a run of white space stands, by the end of the run.
+        self.marks = {m.end(): m.start() for m in SENTENCE_END.finditer(text)}
+
+    def last(self, at: int, limit: int, least: int) -> int:
+        """The rightmost boundary of the best class within [least, limit] of the stretch [at, limit), or limit."""
+        sentence = space = None
+        k = bisect_left(self.starts, limit) - 1
+        while k >= 0 and min(self.ends[k], limit) >= least:
+            a, b = max(self.starts[k], at), min(self.ends[k], limit)
+            x, y = bisect_left(self.lines, a), bisect_left(self.lines, b)
+            if y - x > 1 and self.lines[y - 1] >= least - 1:
+                return self.lines[y - 1] + 1
+            space = b if space is None else space
+            if sentence is None and self.marks.get(self.ends[k], -1) >= at:
+                sentence = b
+            k -= 1
+        y = bisect_left(self.lines, limit)
+        if y and self.lines[y - 1] >= least - 1:
+            return self.lines[y - 1] + 1
+        return sentence or space or limit
+
+
+def natural_spans(text: str, begin: int, end: int, c: ChunkingConfig, bounds: Boundaries | None = None) -> list[tuple[int, int]]:
+    """Spans of [begin, end) that stop at natural boundaries; a short tail is evened out with its predecessor."""
+    bounds = bounds or Boundaries(text)
+    reach = max(c.overlap + 1, int(c.size * c.boundary_fraction))
+    cuts = [(begin, begin)] if begin < end else []
+    while cuts and cuts[-1][1] < end:
+        at = cuts[-1][1] - (c.overlap if cuts[-1][1] > begin else 0)
         limit = min(at + c.size, end)
-        stop = limit
-        if limit < end:
-            window = text[at:limit]
-            for boundary in _COMPILED:
-                ends = [m.end() for m in boundary.finditer(window) if m.end() >= least]
-                if ends:
-                    stop = at + ends[-1]
-                    break
-            if end - stop + c.overlap < c.minimum:
-                even = end - min(c.minimum, (end - at + c.overlap) // 2) + c.overlap
-                if at + c.overlap < even <= limit:
-                    stop = even
-        out.append((at, stop))
-        if stop == end:
-            break
-        at = stop - c.overlap
-    return out
-
-
-def _regions(text: str, sections: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sections and the gaps between them that hold more than white space."""
-    out, at = [], 0
-    for a, b in sections:
-        if text[at:a].strip():
-            out.append((at, a))
-        out.append((a, b))
-        at = b
-    if text[at:].strip():
-        out.append((at, len(text)))
-    return out
-
-
-def chunk_spans(documents: DataFrame, c: ChunkingConfig) -> DataFrame:
-    """document_id, unit_index, unit_chunk_index, chunk_index, start_char, end_char."""
-    if c.strategy == "fixed_size":
-        spans = documents.select("document_id", F.explode(fixed_spans(F.length("text"), c)).alias("s"))
-        return spans.select("document_id", F.lit(0).alias("unit_index"), F.col("s.chunk_index").alias("unit_chunk_index"), "s.chunk_index", "s.start_char", "s.end_char")
+        stop = limit if limit == end else bounds.last(at, limit, at + reach)
+        if stop < end and end - stop + c.overlap < c.minimum:
+            shared = end + c.overlap - min(c.minimum, (end - at + c.overlap) // 2)
+            stop = shared if at + c.overlap < shared <= limit else stop
+        cuts.append((at, stop))
+    return cuts[1:]
+
+
+def regions(text: str, sections: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sections, which are in order and apart, and the stretches between them that show something."""
+    edges = [0, *chain.from_iterable(sections), len(text)]
+    between = list(zip(edges, edges[1:]))
+    return [(a, b) for k, (a, b) in enumerate(between) if k % 2 or text[a:b].strip()]
+
+
+def _natural(c: ChunkingConfig):
+    """Pandas UDF (text, bounds) -> the spans of a text with their pieces."""
     by_section = c.strategy == "sections"
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for name, text, sections in zip(pdf["document_id"], pdf["text"], pdf["bounds"]):
-                text = text or ""
-                units = _regions(text, sorted((int(s["start_char"]), int(s["end_char"])) for s in sections)) if by_section else [(0, len(text))]
-                n = 0
-                for u, (a, b) in enumerate(units):
-                    for k, (x, y) in enumerate(natural_spans(text, a, b, c)):
-                        rows.append((name, u, k, n, x, y))
-                        n += 1
-            yield pd.DataFrame(rows, columns=["document_id", "unit_index", "unit_chunk_index", "chunk_index", "start_char", "end_char"])
+    def spans(text, sections):
+        text = text or ""
+        bounds, out = Boundaries(text), []
+        units = regions(text, sorted((int(s["start_char"]), int(s["end_char"])) for s in sections)) if by_section else [(0, len(text))]
+        for u, (a, b) in enumerate(units):
+            for k, (x, y) in enumerate(natural_spans(text, a, b, c, bounds)):
+                out.append({"unit_index": u, "unit_chunk_index": k, "chunk_index": len(out), "start_char": x, "end_char": y, "text": text[x:y]})
+        return out
+
+    @F.pandas_udf(_SPANS)
+    def run(text: pd.Series, bounds: pd.Series) -> pd.Series:
+        return pd.Series([spans(t, s) for t, s in zip(text, bounds)], dtype=object)
+
+    return run
+
+
+def _spread(documents: DataFrame, c: ChunkingConfig, cut: bool) -> DataFrame:
+    """``documents`` with one row per chunk: ``chunk`` holds its place and, if ``cut``, its text."""
+    if c.strategy != "fixed_size":
+        by_section = c.strategy == "sections"
+        bounds = F.transform("sections", lambda s: F.struct(s["start_char"].alias("start_char"), s["end_char"].alias("end_char"))) if by_section else F.array().cast("array<struct<start_char:int,end_char:int>>")
+        return documents.withColumn("__spans", _natural(c)("text", bounds)).withColumn("chunk", F.explode("__spans"))
+    unit = [F.lit(0).alias("unit_index")]
+    if not cut:  # the length is a column of its own, or every chunk would measure the text again
+        d = documents.withColumn("__length", F.length("text")).withColumn("s", F.explode(fixed_spans(F.col("__length"), c)))
+        return d.withColumn("chunk", F.struct(*unit, F.col("s.chunk_index").alias("unit_chunk_index"), "s.chunk_index", "s.start_char", "s.end_char"))
+    step = c.size - c.overlap
+    # The text in blocks of one step: a chunk joins the few blocks it meets, so that cutting is linear in the text.
+    d = documents.withColumn("__blocks", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s)(.{{1,{step}}})"), F.lit(1)))
+    whole = F.when(F.size("__blocks") > 0, (F.size("__blocks") - 1) * step + F.length(F.element_at("__blocks", -1))).otherwise(0)
+    d = d.withColumn("__length", whole).withColumn("__spans", fixed_spans(F.col("__length"), c))
+
+    def piece(s: Column) -> Column:
+        first = F.floor(s["start_char"] / step).cast("int")
+        many = F.ceil(s["end_char"] / step).cast("int") - first
+        return F.substring(F.array_join(F.slice("__blocks", first + 1, many), ""), s["start_char"] - first * step + 1, s["end_char"] - s["start_char"])
+
+    chunks = F.transform("__spans", lambda s: F.struct(*unit, s["chunk_index"].alias("unit_chunk_index"), s["chunk_index"].alias("chunk_index"), s["start_char"].alias("start_char"), s["end_char"].alias("end_char"), piece(s).alias("text")))
+    return d.withColumn("chunk", F.explode(chunks))
+
 
-    bounds = F.transform("sections", lambda s: F.struct(s["start_char"].alias("start_char"), s["end_char"].alias("end_char"))) if by_section else F.array().cast("array<struct<start_char:int,end_char:int>>")
-    kind = dict(documents.dtypes)["document_id"]
-    return documents.select("document_id", "text", bounds.alias("bounds")).mapInPandas(run, f"document_id {kind}, unit_index int, unit_chunk_index int, chunk_index int, start_char int, end_char int")
+def chunk_spans(documents: DataFrame, c: ChunkingConfig, carry: tuple[str, ...] = ()) -> DataFrame:
+    """document_id, ``carry``, unit_index, unit_chunk_index, chunk_index, start_char, end_char."""
+    place = [f"chunk.{x}" for x in ("unit_index", "unit_chunk_index", "chunk_index", "start_char", "end_char")]
+    return _spread(documents, c, False).select("document_id", *carry, *place)
 
 
 def clip_sections(sections: Column, start: Column, end: Column) -> Column:
@@ -155,11 +200,12 @@ def clip_tables(content: Column, start: Column, end: Column) -> Column:
 def chunk_documents(documents: DataFrame, c: ChunkingConfig, carry: tuple[str, ...] = ()) -> DataFrame:
     """Chunks with text, section references, scope, tables, overlap and content-addressed ids."""
     keep = ["document_id", "text", *carry] + [x for x in ("sections", "content") if x in documents.columns]
-    spans = chunk_spans(documents, c)
-    d = documents.select(*keep).withColumnRenamed("text", "whole").withColumn("parsed_sha256", F.sha2("whole", 256))
-    w = Window.partitionBy("document_id").orderBy("chunk_index")
-    out = spans.withColumn("overlap_with_previous", F.coalesce(F.greatest(F.lit(0), F.lag("end_char").over(w) - F.col("start_char")), F.lit(0))).join(d, "document_id")
-    out = out.withColumn("text", F.substring(F.col("whole"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))).drop("whole")
+    d = documents.select(*keep).withColumn("parsed_sha256", F.sha2("text", 256))
+    spread = _spread(d, c, True)
+    before = F.when(F.col("chunk.chunk_index") > 0, F.element_at("__spans", F.col("chunk.chunk_index"))["end_char"])
+    overlap = F.coalesce(F.greatest(F.lit(0), before - F.col("chunk.start_char")), F.lit(0))
+    kept = [x for x in d.columns if x != "text"]
+    out = spread.select(*kept, "chunk.*", overlap.alias("overlap_with_previous"))
     out = out.withColumn("character_count", F.col("end_char") - F.col("start_char"))
     if "sections" in documents.columns:
         out = out.withColumn("sections", clip_sections(F.col("sections"), F.col("start_char"), F.col("end_char")))

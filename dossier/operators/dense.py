@@ -1,9 +1,8 @@
 """Exact cosine ranking of stored vectors, and the encoder interface.
 
-Queries are a bounded, stated set: they are collected into one matrix, sent to
-the tasks in blocks, and multiplied with the Arrow batches of the index.  Each
-task keeps only its k best per query, so the shuffle holds k rows per query and
-task.
+Queries are a stated set: they go to the tasks in blocks of ``QUERY_BLOCK``, each
+of which is multiplied with the Arrow batches of the index.  A task keeps only
+its k best per query, so the shuffle holds k rows per query and task.
 """
 
 from __future__ import annotations
@@ -71,46 +70,74 @@ def is_sound(v: Column) -> Column:
     return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (squared_norm(v) > 0), F.lit(False))
 
 
+def _query_blocks(queries: DataFrame):
+    """(qids, unit vectors) of at most QUERY_BLOCK queries; the driver holds one block at a time."""
+    held: list = []
+
+    def block():
+        q = np.array([r.vector for r in held], np.float64)
+        norm = np.linalg.norm(q, axis=1)
+        if not np.isfinite(q).all() or (norm == 0).any():
+            raise ValueError("query vectors must be finite and not zero")
+        return np.array([r.qid for r in held]), q / norm[:, None]
+
+    for row in queries.select("qid", "vector").orderBy("qid").toLocalIterator():
+        held.append(row)
+        if len(held) == QUERY_BLOCK:
+            yield block()
+            held = []
+    if held:
+        yield block()
+
+
+def best_rows(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best rows of every query: by score, then by the smaller id."""
+    order = np.lexsort((ids, -score, query))
+    q = query[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return order[place < k]
+
+
 def cosine_top(index: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """qid, id, score, rank <= k.  ``index``: id, vector; ``queries``: qid, vector.
 
     Ties go to the smaller id; scores are rounded to ``SCORE_DIGITS`` first.
     """
-    rows = queries.select("qid", "vector").orderBy("qid").collect()  # the stated query set
-    if not rows:
-        return queries.select("qid", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    q = np.array([r.vector for r in rows], np.float64)
-    norm = np.linalg.norm(q, axis=1)
-    if not np.isfinite(q).all() or (norm == 0).any():
-        raise ValueError("query vectors must be finite and not zero")
-    shared = index.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows]), q / norm[:, None]))
-
-    def best(batches):
-        qids, unit_q = shared.value
-        held: list = [None] * len(qids)
-        for pdf in batches:
-            x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            ids = pdf["id"].to_numpy()
-            size = np.linalg.norm(x, axis=1)
-            if not np.isfinite(x).all() or (size == 0).any():
-                raise ValueError("index vectors must be finite and not zero")
-            for a in range(0, len(qids), QUERY_BLOCK):
-                s = np.round(np.clip((x @ unit_q[a : a + QUERY_BLOCK].T) / size[:, None], -1, 1), SCORE_DIGITS)
-                for j in range(s.shape[1]):
-                    col, names = s[:, j], ids
-                    if exclude_self:
-                        other = ids != qids[a + j]
-                        col, names = col[other], ids[other]
-                    if held[a + j] is not None:
-                        col, names = np.concatenate([col, held[a + j][0]]), np.concatenate([names, held[a + j][1]])
-                    keep = np.lexsort((names, -col))[:k]
-                    held[a + j] = (col[keep], names[keep])
-        out = [pd.DataFrame({"qid": qids[j], "id": h[1], "score": h[0]}) for j, h in enumerate(held) if h is not None]
-        if out:
-            yield pd.concat(out)
-
-    kinds = dict(queries.dtypes)["qid"], dict(index.dtypes)["id"]
-    part = index.select("id", "vector").mapInPandas(best, f"qid {kinds[0]}, id {kinds[1]}, score double")
+    def search(qids: np.ndarray, unit_q: np.ndarray) -> DataFrame:
+        shared = index.sparkSession.sparkContext.broadcast((qids, unit_q))  # QUERY_BLOCK vectors at most
+
+        def best(batches):
+            names, q = shared.value
+            held = (np.zeros(0, np.int64), None, np.zeros(0))
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+                ids = pdf["id"].to_numpy()
+                size = np.linalg.norm(x, axis=1)
+                if not np.isfinite(x).all() or (size == 0).any():
+                    raise ValueError("index vectors must be finite and not zero")
+                s = np.round(np.clip((x @ q.T) / size[:, None], -1, 1), SCORE_DIGITS)
+                if exclude_self:
+                    s[ids[:, None] == names[None, :]] = -np.inf
+                least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(s.shape[1], -1.0)
+                row, column = np.nonzero((s >= least) & (s > -np.inf))  # ties with the k-th all stay
+                query, here = np.concatenate([held[0], column]), ids[row] if held[1] is None else np.concatenate([held[1], ids[row]])
+                score = np.concatenate([held[2], s[row, column]])
+                keep = best_rows(query, here, score, k)
+                held = (query[keep], here[keep], score[keep])
+            if len(held[0]):
+                yield pd.DataFrame({"qid": names[held[0]], "id": held[1], "score": held[2]})
+
+        return index.select("id", "vector").mapInPandas(best, f"qid {dict(queries.dtypes)['qid']}, id {dict(index.dtypes)['id']}, score double")
+
+    part = None
+    for qids, unit_q in _query_blocks(queries):
+        found = search(qids, unit_q)
+        part = found if part is None else part.unionByName(found)
+    if part is None:
+        return queries.select("qid").limit(0).join(index.select("id").limit(0)).select("qid", "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions.text import token_f1
+from dossier.functions.text import answer_tokens
 
 
 class PairScorer(Protocol):
@@ -31,9 +31,25 @@ def pairs_to_score(pools: DataFrame) -> DataFrame:
     return pools.select("qid", "chunk_id").dropDuplicates()
 
 
-def overlap_score(question: Column, passage: Column) -> Column:
-    """The offline scorer: overlap F1, natively."""
-    return F.round(token_f1(question, passage), 6)
+def _counted(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, token, times, size: every text is read once."""
+    tokens = texts.select(key, answer_tokens(F.col(text)).alias("tokens")).withColumn("size", F.size("tokens"))
+    return tokens.select(key, "size", F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("times"), F.first("size").alias("size"))
+
+
+def overlap_scores(pairs: DataFrame, questions: DataFrame, passages: DataFrame) -> DataFrame:
+    """``pairs`` (qid, chunk_id) plus score, the offline scorer: overlap F1 of answer tokens.
+
+    ``questions``: qid, question; ``passages``: chunk_id, text.  Texts meet by
+    counts of their tokens, so the work follows their lengths, not the products.
+    """
+    own = pairs.select("qid", "chunk_id").distinct()
+    asked = _counted(questions, "qid", "question").select("qid", "token", F.col("times").alias("asked"), F.col("size").alias("q_size"))
+    read = _counted(passages.join(own.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunk_id", "text")
+    met = own.join(asked, "qid").join(read, ["chunk_id", "token"]).groupBy("qid", "chunk_id").agg(
+        F.sum(F.least("asked", "times")).alias("common"), (F.first("q_size") + F.first("size")).alias("both"))
+    score = F.coalesce(F.round(2.0 * F.col("common") / F.col("both"), 6), F.lit(0.0))
+    return own.join(met, ["qid", "chunk_id"], "left").select("qid", "chunk_id", score.alias("score"))
 
 
 def model_scores(pairs: DataFrame, scorer: PairScorer) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,27 +74,22 @@ def public_error(code: Column, detail: Column) -> Column:
     return F.struct(code.alias("code"), F.when(detail.isNull() | detail.isin(*SAFE_DETAILS), detail).otherwise(REDACTED).alias("detail"))
 
 
-def failure_labels(t: DataFrame) -> Column:
-    """All labels of a run, in reporting order.
+def failure_flags(t: DataFrame) -> dict[str, Column]:
+    """A flag per label but success, in the order of the taxonomy's rules.
 
     Columns: errors, routing_correct, routing_error, route, tools (array of name,
     status), generation_status, evidence_sufficient, result_sufficient,
-    expected_abstention, abstained, contract_valid.
+    expected_abstention, abstained, contract_valid, and those of :func:`_tool_flags`.
     """
     c = F.col
     yes = lambda x: F.coalesce(x, F.lit(False))
-    tool = lambda test: F.exists("tools", test)
-    bad = lambda x: x["status"].isin("error", "invalid_input")
-    documents = yes(F.contains(c("route"), F.lit("document_retrieval")))
-    money = tool(lambda x: (x["name"] == "financial_data") & (x["status"] == "success"))
-    insufficient = documents & yes(~c("evidence_sufficient"))
-    observed, expected = c("abstained"), c("expected_abstention")
-    rules = {
+    insufficient = yes(F.contains(c("route"), F.lit("document_retrieval"))) & yes(~c("evidence_sufficient"))
+    money, observed, expected = c("__money"), c("abstained"), c("expected_abstention")
+    return {
         "routing_failure": yes(~c("routing_correct")) | yes(c("routing_error")),
-        "tool_failure": tool(lambda x: bad(x) & (x["name"] != "document_retrieval")),
-        "retrieval_failure": tool(lambda x: bad(x) & (x["name"] == "document_retrieval")) | (insufficient & ~money),
-        "partial_evidence": (insufficient & money) | (yes(~c("result_sufficient")) & money & (F.size("tools") > 1))
-        | (tool(lambda x: x["status"] == "unavailable") & tool(lambda x: x["status"] == "success")),
+        "tool_failure": c("__tool_failed"),
+        "retrieval_failure": c("__retrieval_failed") | (insufficient & ~money),
+        "partial_evidence": (insufficient & money) | (yes(~c("result_sufficient")) & money & (F.size("tools") > 1)) | c("__partly"),
         "generation_failure": yes(c("generation_status").isin("provider_error", "incomplete_output", "generation_error")) | yes(expected & ~observed)
         | (yes(~expected & observed) & yes(c("result_sufficient"))),
         "invalid_output": yes(c("generation_status").isin("preparation_error", "invalid_output")) | F.array_contains("errors", "invalid_output"),
@@ -100,22 +97,34 @@ def failure_labels(t: DataFrame) -> Column:
         "unsupported_query": yes(c("route") == "abstain"),
         "expected_abstention": yes(expected & observed & c("contract_valid")),
     }
-    none = ~rules["routing_failure"]
-    for name, rule in rules.items():
-        if name != "routing_failure":
-            none = none & ~rule
-    rules["success"] = none & yes(c("contract_valid"))
-    return F.array_compact(F.array(*[F.when(rules[n], F.lit(n)) for n in TAXONOMY]))
 
 
-def primary_label(labels: Column) -> Column:
-    order = F.array(*map(F.lit, PRECEDENCE))
-    return F.try_element_at(F.filter(order, lambda p: F.array_contains(labels, p)), F.lit(1))
+def _tool_flags() -> dict[str, Column]:
+    """What the statuses of a run's tools say."""
+    tool = lambda test: F.exists("tools", test)
+    bad = lambda x: x["status"].isin("error", "invalid_input")
+    return {
+        "__money": tool(lambda x: (x["name"] == "financial_data") & (x["status"] == "success")),
+        "__tool_failed": tool(lambda x: bad(x) & (x["name"] != "document_retrieval")),
+        "__retrieval_failed": tool(lambda x: bad(x) & (x["name"] == "document_retrieval")),
+        "__partly": tool(lambda x: x["status"] == "unavailable") & tool(lambda x: x["status"] == "success"),
+    }
 
 
 def classify(traces: DataFrame) -> DataFrame:
-    labelled = traces.withColumn("categories", failure_labels(traces))
-    return labelled.withColumn("primary", primary_label(F.col("categories")))
+    """``traces`` plus categories (all labels, in reporting order) and primary (the first by precedence).
+
+    Flags are columns, computed once; labels and precedence only read them.
+    """
+    own = traces.columns
+    flagged = traces.withColumns(_tool_flags())
+    rules = failure_flags(flagged)
+    flagged = flagged.withColumns({f"__{n}": flag for n, flag in rules.items()})
+    any_flag = functools.reduce(lambda a, b: a | b, [F.col(f"__{n}") for n in rules])
+    flagged = flagged.withColumn("__success", ~any_flag & F.coalesce("contract_valid", F.lit(False)))
+    labels = F.array_compact(F.array(*[F.when(F.col(f"__{n}"), F.lit(n)) for n in TAXONOMY]))
+    first = F.coalesce(*[F.when(F.col(f"__{n}"), F.lit(n)) for n in PRECEDENCE])
+    return flagged.select(*own, labels.alias("categories"), first.alias("primary"))
 
 
 def build_traces(runs: DataFrame) -> DataFrame:

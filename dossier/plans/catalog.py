@@ -16,6 +16,7 @@ from dossier.operators import answers, benchmark, chunking, dense, evidence, fac
 from dossier.plans import frames
 from dossier.plans.frames import table
 from dossier.sources import files, filings
+from dossier.sources.stored import stored
 from dossier.streaming import events as event_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +47,7 @@ def _tok(x: str) -> str:
 _BASE = f"""
 tok AS (SELECT doc_id AS id, lang, {_tok('text')} AS tokens FROM documents),
 docs AS (SELECT id, lang, tokens, len(tokens) AS length FROM tok),
-q AS (SELECT item_id AS qid, list_slice({_tok('text')}, 1, {frames.QUERY_TOKENS}) AS tokens FROM benchmark),
+q AS (SELECT item_id AS qid, {_tok('text')} AS tokens FROM benchmark),
 terms AS (SELECT DISTINCT qid, unnest(tokens) AS token FROM q),
 stat AS (SELECT count(*) AS n, avg(length) AS mean FROM docs),
 post AS (SELECT token, id, length, count(*) AS tf FROM (SELECT id, length, unnest(tokens) AS token FROM docs) GROUP BY ALL),
@@ -143,10 +144,10 @@ def tokenize_stats(spark, d):
 WITH {_BASE} SELECT token, df, CAST(sum(tf) AS BIGINT) AS occurrences, round(ln(1 + (any_value(n) - df + 0.5) / (df + 0.5)), 6) AS idf
 FROM post JOIN df USING (token), stat GROUP BY token, df ORDER BY df DESC, token LIMIT 50""")
 def posting_list_top_terms(spark, d):
-    t = lexical.document_tokens(frames.documents(spark, d))
-    n = t.agg(F.count(F.lit(1)).alias("n"))
-    g = lexical.postings(t).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences")).orderBy(F.desc("df"), "token").limit(50)
-    return g.join(F.broadcast(n)).select("token", "df", "occurrences", F.round(F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    docs = frames.documents(spark, d)
+    n = F.lit(docs.count())
+    g = lexical.postings(lexical.document_tokens(docs)).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences")).orderBy(F.desc("df"), "token").limit(50)
+    return g.select("token", "df", "occurrences", F.round(F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
 @_register(f"WITH {_BASE}, {_bm25('bm25')} SELECT qid, id, score, rank FROM r_bm25 WHERE rank <= 10")
@@ -163,7 +164,7 @@ SELECT qid, coalesce(any_value(pos.n), 0) AS n_positive, bool_or(score = 0) AS z
 FROM r_bm25 LEFT JOIN pos USING (qid) WHERE rank <= 10 GROUP BY qid""")
 def zero_score_diagnostics(spark, d):
     ids = frames.documents(spark, d).select(F.col("doc_id").alias("id"))
-    s = frames.scores(spark, d, "bm25")
+    s = stored(frames.scores(spark, d, "bm25"), "scores")
     return lexical.zero_score_diagnostics(lexical.top_ranked(s, ids, frames.questions(spark, d), 10), s)
 
 
@@ -187,12 +188,25 @@ def vector_norms(spark, d):
     return v.groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.round(F.avg(F.sqrt(dense.squared_norm(e))), 6).alias("mean_norm"), F.count_if(~dense.is_sound(e)).alias("unsound"))
 
 
-@_register(f"{_RANKED} SELECT qid, id, score, rank FROM r_rrf WHERE rank <= 10")
+_DENSE = """
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), vn AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+sd AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(greatest(-1, least(1, list_dot_product(a.e, b.e) / (a.norm * b.norm))), 6) AS score
+  FROM vn a JOIN benchmark ON item_id = a.vec_id, vn b),
+r_dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sd)"""
+
+
+@_register(f"""
+WITH {_BASE}, {_bm25('bm25')}, {_DENSE},
+h AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60.0 + rank)), 12) AS score
+  FROM (SELECT qid, id, rank FROM r_bm25 UNION ALL SELECT qid, id, rank FROM r_dense) WHERE rank <= {frames.DEPTH} GROUP BY qid, id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM h)
+SELECT qid, id, score, rank FROM r WHERE rank <= 10""")
 def rrf_hybrid_top10(spark, d):
+    """BM25 fused with the cosine ranking of the vectors."""
     ids = frames.documents(spark, d).select(F.col("doc_id").alias("id"))
-    q = frames.questions(spark, d)
-    tops = [lexical.top_ranked(frames.scores(spark, d, n), ids, q, frames.DEPTH) for n in frames.SYSTEMS]
-    return lexical.fuse_rankings(tops, 60.0, frames.DEPTH).where("rank <= 10").withColumn("rank", F.col("rank").cast("long"))
+    lexical_top = lexical.top_ranked(frames.scores(spark, d, "bm25"), ids, frames.questions(spark, d), frames.DEPTH)
+    out = lexical.fuse_rankings([lexical_top, frames.dense_top(spark, d)], 60.0, frames.DEPTH)
+    return out.where("rank <= 10").withColumn("rank", F.col("rank").cast("long"))
 
 
 @_register("SELECT lang, count(*) AS misses FROM documents WHERE source <> 'src0' GROUP BY lang")
@@ -224,8 +238,8 @@ SELECT lang, count(*) AS chunks, round(avg(n), 2) AS mean_chars, median(n) AS me
 FROM n GROUP BY GROUPING SETS ((lang), ())""")
 def chunk_fixed_stats(spark, d):
     docs = frames.documents(spark, d)
-    spans = chunking.chunk_spans(docs.select(F.col("doc_id").alias("document_id"), "text"), frames.CHUNKS)
-    c = spans.join(docs.select(F.col("doc_id").alias("document_id"), "lang"), "document_id").withColumn("character_count", F.col("end_char") - F.col("start_char"))
+    spans = chunking.chunk_spans(docs.select(F.col("doc_id").alias("document_id"), "text", "lang"), frames.CHUNKS, ("lang",))
+    c = spans.withColumn("character_count", F.col("end_char") - F.col("start_char"))
     out = chunking.chunk_statistics(c, ["lang"], frames.CHUNKS.minimum)
     return out.withColumns({x: F.col(x).cast("long") for x in ("min_chars", "max_chars")})
 
@@ -297,10 +311,10 @@ def evidence_union_coverage(spark, d):
 
 def _per_question(spark, d):
     # Small results that several branches of the plan read.
-    e = frames.evidence(spark, d).persist()
-    o = evidence.overlaps(frames.whole_chunks(spark, d), e).persist()
-    labels = frames.question_labels(spark, d).persist()
-    per = evidence.question_metrics(frames.ranked(spark, d).persist(), o, e, labels)
+    e = stored(frames.evidence(spark, d), "evidence")
+    o = stored(evidence.overlaps(frames.whole_chunks(spark, d), e), "overlaps")
+    labels = stored(frames.question_labels(spark, d, e), "questions")
+    per = evidence.question_metrics(stored(frames.ranked(spark, d, e), "ranked"), o, e, labels)
     return per.join(labels.select("qid", "category", "difficulty"), "qid")
 
 
@@ -364,12 +378,10 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, CAST(i
 def _reranked(spark, d):
     ids = frames.documents(spark, d).select(F.col("doc_id").alias("id"))
     top = lexical.top_ranked(frames.scores(spark, d, "bm25"), ids, frames.questions(spark, d), 20)
-    pools = rerank.pool(top.select(F.lit("bm25").alias("system"), "qid", F.col("id").cast("string").alias("chunk_id"), F.col("rank").cast("long")), 20)
+    pools = stored(rerank.pool(top.select(F.lit("bm25").alias("system"), "qid", F.col("id").cast("string").alias("chunk_id"), F.col("rank").cast("long").alias("rank")), 20), "pools")
     texts = frames.documents(spark, d).select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    pairs = rerank.pairs_to_score(pools).join(texts, "chunk_id").join(F.broadcast(asked), "qid")
-    scored = pairs.select("qid", "chunk_id", rerank.overlap_score(F.col("question"), F.col("text")).alias("score"))
-    return pools, rerank.reorder(pools, scored)
+    return pools, rerank.reorder(pools, rerank.overlap_scores(rerank.pairs_to_score(pools), asked, texts))
 
 
 @_register(f"{_RERANK} SELECT qid, CAST(id AS VARCHAR) AS chunk_id, old_rank, score, rank FROM rr WHERE rank <= 10")
@@ -392,10 +404,11 @@ SELECT 'bm25' AS system, qid, round(available / n::DOUBLE, 6) AS oracle_recall,
   CASE WHEN available < n AND kept < available THEN 'both' WHEN available < n THEN 'candidate_generation' WHEN kept < available THEN 'reranking' ELSE 'complete' END AS failure_class,
   round((kept - kept_before) / n::DOUBLE, 6) AS recall_delta FROM x""")
 def rerank_failure_class(spark, d):
-    pools, after = (x.persist() for x in _reranked(spark, d))
-    e = frames.evidence(spark, d).persist()
-    o = evidence.overlaps(frames.whole_chunks(spark, d), e).persist()
-    q = frames.question_labels(spark, d).persist()
+    pools, after = _reranked(spark, d)
+    after = stored(after, "reranked")
+    e = stored(frames.evidence(spark, d), "evidence")
+    o = stored(evidence.overlaps(frames.whole_chunks(spark, d), e), "overlaps")
+    q = frames.question_labels(spark, d, e)
     need = e.groupBy("qid").agg(F.collect_set("evidence_id").alias("required"))
     a = rerank.analyze(evidence.question_metrics(pools, o, e, q), evidence.question_metrics(after.select("system", "qid", "chunk_id", "rank"), o, e, q), need)
     return a.select("system", "qid", F.round("oracle_recall", 6).alias("oracle_recall"), "failure_class", F.round("recall_delta", 6).alias("recall_delta"))

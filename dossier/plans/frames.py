@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.text import retrieval_tokens
-from dossier.operators import chunking, lexical
+from dossier.operators import chunking, dense, lexical
+from dossier.operators.evidence import find_passages
 from dossier.sources.files import read_table as table
+from dossier.sources.stored import stored
 
-QUERY_TOKENS = 12
 CHUNKS = chunking.ChunkingConfig("fixed_size", 400, 50, 60)
 SYSTEMS = {"bm25": (1.2, 0.75), "flat": (0.9, 0.4)}
 DEPTH = 50
@@ -20,28 +21,21 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """qid, tokens: the first words of every benchmark item."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.slice(retrieval_tokens(F.col("text")), 1, QUERY_TOKENS).alias("tokens"))
+    """qid, tokens: the words of every benchmark item."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), retrieval_tokens(F.col("text")).alias("tokens"))
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Every place where a document holds an item: evidence_id, qid, document_id, start_char, end_char, text.
-
-    The items are the stated, bounded query set.
-    """
+    """Every document that holds an item: evidence_id, qid, document_id, start_char, end_char, text."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    met = documents(spark, d).select("doc_id", "text").join(F.broadcast(b), F.expr("contains(text, passage)"))
-    start = F.expr("instr(text, passage)") - 1
-    return met.select(
-        F.concat_ws(":", F.col("qid").cast("string"), F.col("doc_id").cast("string")).alias("evidence_id"), "qid", F.col("doc_id").alias("document_id"),
-        start.alias("start_char"), (start + F.length("passage")).alias("end_char"), F.col("passage").alias("text"),
-    )
+    found = find_passages(documents(spark, d).select(F.col("doc_id").alias("document_id"), "text"), b)
+    return found.select(F.concat_ws(":", F.col("qid").cast("string"), F.col("document_id").cast("string")).alias("evidence_id"), "*")
 
 
-def question_labels(spark: SparkSession, d: str) -> DataFrame:
-    """qid, answerable, multi, category, difficulty."""
+def question_labels(spark: SparkSession, d: str, gold: DataFrame | None = None) -> DataFrame:
+    """qid, answerable, multi, category, difficulty; ``gold`` is the evidence, where it is there already."""
     b = table(spark, d, "benchmark")
-    n = evidence(spark, d).groupBy("qid").agg(F.count_distinct("document_id").alias("n"))
+    n = (evidence(spark, d) if gold is None else gold).groupBy("qid").agg(F.count_distinct("document_id").alias("n"))
     m = b.select(F.col("item_id").alias("qid"), F.length("text").alias("chars")).join(n, "qid", "left")
     return m.select(
         "qid", F.col("n").isNotNull().alias("answerable"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("multi"),
@@ -62,19 +56,31 @@ def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("chunk_id", F.concat_ws("#", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")))
 
 
-def scores(spark: SparkSession, d: str, system: str) -> DataFrame:
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The tokenised documents, written once: statistics, postings and scores read them."""
+    return stored(lexical.document_tokens(documents(spark, d)), "tokens")
+
+
+def scores(spark: SparkSession, d: str, system: str, t: DataFrame | None = None) -> DataFrame:
     k1, b = SYSTEMS[system]
-    return lexical.bm25_scores(lexical.document_tokens(documents(spark, d)), questions(spark, d), k1, b)
+    return lexical.bm25_scores(tokens(spark, d) if t is None else t, questions(spark, d), k1, b)
+
+
+def dense_top(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
+    """qid, id, rank <= k: the vectors nearest to the one that has an item's number."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"))
+    return dense.cosine_top(v, v.join(items, F.col("id") == F.col("qid")).select("qid", "vector"), k)
 
 
-def ranked(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
+def ranked(spark: SparkSession, d: str, gold: DataFrame, k: int = DEPTH) -> DataFrame:
     """system, qid, chunk_id, rank <= k for both settings and their fusion, plus the full-ranking places of relevant documents."""
-    ids = documents(spark, d).select(F.col("doc_id").alias("id"))
+    t, ids = tokens(spark, d), documents(spark, d).select(F.col("doc_id").alias("id"))
     q = questions(spark, d)
     tops, out = [], None
-    rel = evidence(spark, d).select("qid", F.col("document_id").alias("id")).distinct().persist()
+    rel = gold.select("qid", F.col("document_id").alias("id")).distinct()
     for name in SYSTEMS:
-        s = scores(spark, d, name).persist()
+        s = stored(scores(spark, d, name, t), "scores")
         top = lexical.top_ranked(s, ids, q, k)
         tops.append(top)
         far = lexical.rank_within(s, ids, rel).where(F.col("rank") > k)
