@@ -43,11 +43,18 @@ def strip_right(text: Column) -> Column:
     return F.regexp_replace(text, SPACE + r"+\z", "")
 
 
-def retrieval_tokens(text: Column) -> Column:
-    """Tokens for ranking; digit-led tokens lose their commas."""
-    folded = F.translate(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), "’‐‑", "'--")
-    found = F.regexp_extract_all(folded, F.lit(f"({RETRIEVAL_TOKEN})"), F.lit(1))
-    return F.transform(found, lambda t: F.when(t.rlike(r"^\p{Nd}"), F.replace(t, F.lit(","), F.lit(""))).otherwise(t))
+#: A character for which lower case is not the compatibility form with full case folding: all but ASCII,
+#: the accented letters of Latin-1, and common dashes, quotes and signs.  Sharp s, which folds to ss, is in it.
+NEEDS_FOLDING = "(?=[^\\x00-\\x7F])[^\\x00-\\x7F\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00ff\u2010\u2012-\u2015\u2018-\u201e\u2020-\u2022\u20ac]"
+
+
+def retrieval_tokens(text: Column, folded: bool = False) -> Column:
+    """Tokens for ranking; numbers lose their commas.  ``folded``: the text is in folded form already."""
+    plain = F.coalesce(text, F.lit(""))
+    if not folded:
+        plain = F.replace(F.lower(plain), F.lit("ß"), F.lit("ss"))
+    found = F.regexp_extract_all(F.translate(plain, "’‐‑", "'--"), F.lit(f"({RETRIEVAL_TOKEN})"), F.lit(1))
+    return F.transform(found, lambda t: F.replace(t, F.lit(","), F.lit("")))  # only numbers hold commas
 
 
 @F.pandas_udf(StringType())

@@ -15,7 +15,6 @@ from bisect import bisect_left
 from dataclasses import asdict, dataclass
 from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,32 +127,39 @@ def regions(text: str, sections: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(a, b) for k, (a, b) in enumerate(between) if k % 2 or text[a:b].strip()]
 
 
-def _natural(c: ChunkingConfig):
-    """Pandas UDF (text, bounds) -> the spans of a text with their pieces."""
+def _natural(documents: DataFrame, c: ChunkingConfig) -> DataFrame:
+    """``documents`` plus __spans, the chunks of each text with their pieces, in Arrow batches."""
     by_section = c.strategy == "sections"
-
-    def spans(text, sections):
-        text = text or ""
-        bounds, out = Boundaries(text), []
-        units = regions(text, sorted((int(s["start_char"]), int(s["end_char"])) for s in sections)) if by_section else [(0, len(text))]
-        for u, (a, b) in enumerate(units):
-            for k, (x, y) in enumerate(natural_spans(text, a, b, c, bounds)):
-                out.append({"unit_index": u, "unit_chunk_index": k, "chunk_index": len(out), "start_char": x, "end_char": y, "text": text[x:y]})
-        return out
-
-    @F.pandas_udf(_SPANS)
-    def run(text: pd.Series, bounds: pd.Series) -> pd.Series:
-        return pd.Series([spans(t, s) for t, s in zip(text, bounds)], dtype=object)
-
-    return run
+    own = documents.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ends, at, pieces = [0], [], []
+            bounds_of = batch.column("__bounds").to_pylist()
+            for text, sections in zip(batch.column("text").to_pylist(), bounds_of):
+                text = text or ""
+                bounds, n = Boundaries(text), len(at)
+                units = regions(text, sorted((s["start_char"], s["end_char"]) for s in sections)) if by_section else [(0, len(text))]
+                for u, (a, b) in enumerate(units):
+                    for k, (x, y) in enumerate(natural_spans(text, a, b, c, bounds)):
+                        at.append((u, k, len(at) - n, x, y))
+                        pieces.append(text[x:y])
+                ends.append(len(at))
+            columns = [pa.array(v, pa.int32()) for v in (zip(*at) if at else [[]] * 5)] + [pa.array(pieces, pa.string())]
+            spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["unit_index", "unit_chunk_index", "chunk_index", "start_char", "end_char", "text"]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in own], spans], names=[*own, "__spans"])
+
+    ends = F.transform("sections", lambda s: F.struct(s["start_char"].alias("start_char"), s["end_char"].alias("end_char"))) if by_section else F.array().cast("array<struct<start_char:int,end_char:int>>")
+    schema = documents.limit(0).withColumn("__spans", F.lit(None).cast(_SPANS)).schema
+    return documents.withColumn("__bounds", ends).mapInArrow(run, schema)
 
 
 def _spread(documents: DataFrame, c: ChunkingConfig, cut: bool) -> DataFrame:
     """``documents`` with one row per chunk: ``chunk`` holds its place and, if ``cut``, its text."""
     if c.strategy != "fixed_size":
-        by_section = c.strategy == "sections"
-        bounds = F.transform("sections", lambda s: F.struct(s["start_char"].alias("start_char"), s["end_char"].alias("end_char"))) if by_section else F.array().cast("array<struct<start_char:int,end_char:int>>")
-        return documents.withColumn("__spans", _natural(c)("text", bounds)).withColumn("chunk", F.explode("__spans"))
+        return _natural(documents, c).withColumn("chunk", F.explode("__spans"))
     unit = [F.lit(0).alias("unit_index")]
     if not cut:  # the length is a column of its own, or every chunk would measure the text again
         d = documents.withColumn("__length", F.length("text")).withColumn("s", F.explode(fixed_spans(F.col("__length"), c)))

@@ -152,9 +152,7 @@ def posting_list_top_terms(spark, d):
 
 @_register(f"WITH {_BASE}, {_bm25('bm25')} SELECT qid, id, score, rank FROM r_bm25 WHERE rank <= 10")
 def bm25_top10(spark, d):
-    ids = frames.documents(spark, d).select(F.col("doc_id").alias("id"))
-    top = lexical.top_ranked(frames.scores(spark, d, "bm25"), ids, frames.questions(spark, d), 10)
-    return top.withColumn("rank", F.col("rank").cast("long"))
+    return frames.bm25_top(spark, d, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @_register(f"""
@@ -164,7 +162,7 @@ SELECT qid, coalesce(any_value(pos.n), 0) AS n_positive, bool_or(score = 0) AS z
 FROM r_bm25 LEFT JOIN pos USING (qid) WHERE rank <= 10 GROUP BY qid""")
 def zero_score_diagnostics(spark, d):
     ids = frames.documents(spark, d).select(F.col("doc_id").alias("id"))
-    s = stored(frames.scores(spark, d, "bm25"), "scores")
+    s = frames.scores(spark, d, "bm25")
     return lexical.zero_score_diagnostics(lexical.top_ranked(s, ids, frames.questions(spark, d), 10), s)
 
 
@@ -203,9 +201,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS
 SELECT qid, id, score, rank FROM r WHERE rank <= 10""")
 def rrf_hybrid_top10(spark, d):
     """BM25 fused with the cosine ranking of the vectors."""
-    ids = frames.documents(spark, d).select(F.col("doc_id").alias("id"))
-    lexical_top = lexical.top_ranked(frames.scores(spark, d, "bm25"), ids, frames.questions(spark, d), frames.DEPTH)
-    out = lexical.fuse_rankings([lexical_top, frames.dense_top(spark, d)], 60.0, frames.DEPTH)
+    out = lexical.fuse_rankings([frames.bm25_top(spark, d, frames.DEPTH), frames.dense_top(spark, d)], 60.0, frames.DEPTH)
     return out.where("rank <= 10").withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -376,8 +372,7 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, CAST(i
 
 
 def _reranked(spark, d):
-    ids = frames.documents(spark, d).select(F.col("doc_id").alias("id"))
-    top = lexical.top_ranked(frames.scores(spark, d, "bm25"), ids, frames.questions(spark, d), 20)
+    top = frames.bm25_top(spark, d, 20)
     pools = stored(rerank.pool(top.select(F.lit("bm25").alias("system"), "qid", F.col("id").cast("string").alias("chunk_id"), F.col("rank").cast("long").alias("rank")), 20), "pools")
     texts = frames.documents(spark, d).select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))

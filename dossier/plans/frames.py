@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.functions.text import retrieval_tokens
 from dossier.operators import chunking, dense, lexical
 from dossier.operators.evidence import find_passages
 from dossier.sources.files import read_table as table
@@ -22,7 +21,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """qid, tokens: the words of every benchmark item."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), retrieval_tokens(F.col("text")).alias("tokens"))
+    return lexical.as_questions(table(spark, d, "benchmark"), F.col("item_id"), F.col("text"))
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -57,13 +56,20 @@ def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    """The tokenised documents, written once: statistics, postings and scores read them."""
-    return stored(lexical.document_tokens(documents(spark, d)), "tokens")
+    """The tokenised documents."""
+    return lexical.document_tokens(documents(spark, d))
 
 
-def scores(spark: SparkSession, d: str, system: str, t: DataFrame | None = None) -> DataFrame:
+def scores(spark: SparkSession, d: str, system: str, t: DataFrame | None = None, best: int | None = None) -> DataFrame:
+    """Scores, written once."""
     k1, b = SYSTEMS[system]
-    return lexical.bm25_scores(tokens(spark, d) if t is None else t, questions(spark, d), k1, b)
+    return stored(lexical.bm25_scores(tokens(spark, d) if t is None else t, questions(spark, d), k1, b, best), "scores")
+
+
+def bm25_top(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """qid, id, score, rank <= k."""
+    ids = documents(spark, d).select(F.col("doc_id").alias("id"))
+    return lexical.top_ranked(scores(spark, d, "bm25", best=k), ids, questions(spark, d), k)
 
 
 def dense_top(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
@@ -80,7 +86,7 @@ def ranked(spark: SparkSession, d: str, gold: DataFrame, k: int = DEPTH) -> Data
     tops, out = [], None
     rel = gold.select("qid", F.col("document_id").alias("id")).distinct()
     for name in SYSTEMS:
-        s = stored(scores(spark, d, name, t), "scores")
+        s = scores(spark, d, name, t)
         top = lexical.top_ranked(s, ids, q, k)
         tops.append(top)
         far = lexical.rank_within(s, ids, rel).where(F.col("rank") > k)

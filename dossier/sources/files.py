@@ -18,8 +18,20 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str, pattern:
     return spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", pattern).json(path)
 
 
+def spread(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df``, dealt to all cores where it is a small scan of fewer files than those.
+
+    A small file is one row group, which one task reads; what follows would run in
+    that task alone.  Larger tables have row groups enough and stay as they are.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most_bytes:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def frame_sha256(df: DataFrame) -> str:
