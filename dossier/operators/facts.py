@@ -35,6 +35,11 @@ def explode_payload(payloads: DataFrame) -> DataFrame:
     return by_unit.select("ticker", "company", "cik", "concept", "unit", F.posexplode("rows").alias("idx", "r")).select("ticker", "company", "cik", "concept", "unit", "idx", "r.*")
 
 
+def flatten_cache(files: DataFrame) -> DataFrame:
+    """Fact rows of cached company files (ticker, company, facts: array of records), one table over all companies."""
+    return files.select("ticker", "company", F.explode("facts").alias("f")).select("ticker", "company", "f.*")
+
+
 def payload_violations(payloads: DataFrame, companies: DataFrame) -> DataFrame:
     """ticker, rule for payloads that lack a facts or us-gaap object, units, or the company's cik."""
     c = companies.select("ticker", pad_cik(F.col("cik")).alias("want"))

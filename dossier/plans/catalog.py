@@ -240,13 +240,6 @@ def chunk_fixed_stats(spark, d):
     return out.withColumns({x: F.col(x).cast("long") for x in ("min_chars", "max_chars")})
 
 
-@_register()
-def chunk_recursive(spark, d):
-    """Natural-boundary chunks; tests check them against the sequential definition."""
-    docs = frames.documents(spark, d).select(F.col("doc_id").alias("document_id"), "text")
-    return chunking.chunk_documents(docs, chunking.ChunkingConfig("recursive", 400, 50, 60))
-
-
 _LINES = r"""
 line AS (
   SELECT doc_id, i, l, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a
@@ -399,14 +392,19 @@ SELECT 'bm25' AS system, qid, round(available / n::DOUBLE, 6) AS oracle_recall,
   CASE WHEN available < n AND kept < available THEN 'both' WHEN available < n THEN 'candidate_generation' WHEN kept < available THEN 'reranking' ELSE 'complete' END AS failure_class,
   round((kept - kept_before) / n::DOUBLE, 6) AS recall_delta FROM x""")
 def rerank_failure_class(spark, d):
+    a = rerank_analysis(spark, d)
+    return a.select("system", "qid", F.round("oracle_recall", 6).alias("oracle_recall"), "failure_class", F.round("recall_delta", 6).alias("recall_delta"))
+
+
+def rerank_analysis(spark, d):
+    """What reranking the BM25 pools changes, per question."""
     pools, after = _reranked(spark, d)
     after = stored(after, "reranked")
     e = stored(frames.evidence(spark, d), "evidence")
     o = stored(evidence.overlaps(frames.whole_chunks(spark, d), e), "overlaps")
     q = frames.question_labels(spark, d, e)
     need = e.groupBy("qid").agg(F.collect_set("evidence_id").alias("required"))
-    a = rerank.analyze(evidence.question_metrics(pools, o, e, q), evidence.question_metrics(after.select("system", "qid", "chunk_id", "rank"), o, e, q), need)
-    return a.select("system", "qid", F.round("oracle_recall", 6).alias("oracle_recall"), "failure_class", F.round("recall_delta", 6).alias("recall_delta"))
+    return rerank.analyze(evidence.question_metrics(pools, o, e, q), evidence.question_metrics(after.select("system", "qid", "chunk_id", "rank"), o, e, q), need)
 
 
 # ---------------------------------------------------------------- parsing
