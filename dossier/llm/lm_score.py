@@ -6,7 +6,8 @@ the end of a document, and one class for all other words, inside which words
 follow the add-one unigram rate.  Class scores are normalised over all classes
 by matrix products over the distinct contexts of a batch.  Every training token
 is counted and trained on once: each partition trains from the same start and
-the parameters are averaged by tokens.
+the parameters are averaged by tokens.  So ``score`` depends on how the rows lie
+in partitions, though not on the order in which tasks run; all other columns do not.
 
 Counts live in hash buckets.  Words above a count threshold (at most
 ``FREQUENT`` of them, so the table has a fixed bound) are looked up where the
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import textcore
-from dossier.llm.durable import durable
+from dossier.llm.durable import durable, release
 
 CLASSES = 1024
 WIDTH = 16
@@ -293,25 +294,16 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, buckets: int | None
             for a in range(0, len(target), 8192):
                 model.train(before[a : a + 8192], target[a : a + 8192], f[3], rng, 0.05)
             seen += len(target)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen % 64], pa.int32()), pa.array([seen], pa.int64()), pa.array([model.to_bytes()], pa.binary())], names=["slot", "n", "p"])
+        if seen:  # the parameters weigh by tokens, whose number comes last
+            own = np.append(np.frombuffer(model.to_bytes(), np.float32).astype(np.float64) * seen, seen)
+            yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["p"])
 
-    def average(batches):
-        import pyarrow as pa
-
-        total, acc = 0, None
-        for batch in batches:
-            for k, p in zip(batch.column("n").to_pylist(), batch.column("p").to_pylist()):
-                x = np.frombuffer(p, np.float32).astype(np.float64) * k
-                acc, total = x if acc is None else acc + x, total + k
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([acc.tobytes()], pa.binary())], names=["n", "p"])
-
-    local = docs.select("doc_id", "text").mapInArrow(train, "slot int, n long, p binary")
-    sums = local.repartition(8, "slot").mapInArrow(average, "n long, p binary").collect()  # at most eight parameter sets
+    local = durable(docs.select("doc_id", "text").mapInArrow(train, "p binary"), "lm-replicas")
     model = LogBilinear(classes)
-    if sums:
-        model.load(sum(np.frombuffer(r.p, np.float64) for r in sums) / sum(r.n for r in sums))
+    total = textcore.summed(local, "p", np.float64, local.count())
+    if total is not None:
+        model.load(total[:-1] / total[-1])
+    release(local)
     fitted = spark.sparkContext.broadcast(model)
 
     def score(batches):

@@ -56,6 +56,26 @@ def test_embeddings_against_brute_force(spark):
     assert embed_dedup.link_embeddings(df.limit(0)).count() == 0
 
 
+def test_hamming_limit_keeps_pairs_at_the_threshold():
+    r = np.random.default_rng(7)
+    a = r.normal(size=(20000, 48))
+    other = r.normal(size=a.shape)
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    other -= (other * a).sum(axis=1)[:, None] * a
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    b = 0.9 * a + np.sqrt(1 - 0.81) * other  # cosine 0.9 exactly
+    turn = embed_dedup.learn_rotation(a[:2000], 0)
+    apart = np.bitwise_count(embed_dedup.head_codes(a, turn) ^ embed_dedup.head_codes(b, turn))
+    assert (apart <= embed_dedup.hamming_limit(0.9)).mean() > 0.9999 and apart.mean() < embed_dedup.hamming_limit(0.9) / 2
+    assert embed_dedup.table_shape(1 << 30, 0.9)[0] > embed_dedup.table_shape(1 << 20, 0.9)[0] > embed_dedup.table_shape(1 << 12, 0.9)[0]
+
+
+def test_repeated_vec_ids_and_double_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 1e-9]), (3, [-0.0, 0.0, 1.0]), (4, [0.0, -0.0, 2.0])]
+    got = sorted((q.vec_id, q.n_links, q.component_id) for q in embed_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3)]
+
+
 def test_tiles_of_a_hot_cell_count_every_pair_once(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "TILE", 8)
     r = np.random.default_rng(5)

@@ -186,6 +186,35 @@ def test_lm_score(spark, docs):
     assert lm_score.score_documents(corpus.empty(spark)).count() == 0
 
 
+def test_lm_score_follows_the_model_token_by_token(spark, monkeypatch):
+    """Scores recomputed word by word from the fitted parameters, with the softmax over all classes."""
+    fitted = []
+    monkeypatch.setattr(lm_score.LogBilinear, "load", lambda self, flat, load=lm_score.LogBilinear.load: fitted.append(load(self, flat)) or self)
+    classes, rows = 24, corpus.rows(3, 40)
+    got = lm_score.score_documents(corpus.frame(spark, 3, 40).select("doc_id", "text"), classes=classes).collect()
+    m = fitted[-1]
+    name = lambda w: int(lm_score.END) if w is None else int(textcore.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0])
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    toks = [(r[0], corpus.words(r[1]) + [None]) for r in rows]
+    c = collections.Counter(w for i, t in toks if not held(i) for w in t)
+    top = sorted((w for w in c if w is not None), key=lambda w: (-c[w], name(w)))[: classes - 2]
+    place = {w: k for k, w in enumerate(top)} | {None: classes - 2}
+    rest = {w: n for w, n in c.items() if w not in place}
+    want = []
+    for i, t in toks:
+        before, total = [classes, classes], 0.0
+        for w in t:
+            k = place.get(w, classes - 1)
+            z = m.output.astype(float) @ (m.context[before[0]] * m.position[0] + m.context[before[1]] * m.position[1]).astype(float) + m.bias
+            total += (z[k] - np.log(np.exp(z).sum())) / np.log(10)
+            if k == classes - 1:
+                total += math.log10((rest.get(w, 0) + 1) / (sum(rest.values()) + len(rest) + 1))
+            before = [before[1], k]
+        want.append((i if i is not None else -1, len(t), total))
+    have = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.score) for r in got)
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 * max(1, a[1]) ** 0.5 for a, b in zip(have, sorted(want)))
+
+
 def test_log_bilinear_is_normalised_and_learns():
     r = np.random.default_rng(1)
     m = lm_score.LogBilinear(16, 4)
