@@ -196,6 +196,15 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return durable(met.dropDuplicates(["node"]), "jaccard-arrays")  # on the join's own partitioning
 
 
+def _sides(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Stored ``pairs`` (a, b) with the columns of both nodes; rows of ``right`` that no pair names are not moved.
+
+    The ids of few pairs are sent to the tasks, while their file is below the
+    broadcast limit; else the same join shuffles both sides by b once.
+    """
+    return pairs.join(left, "a").join(right.join(pairs.select("b"), "b", "left_semi"), "b")
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Durable pairs (a, b) whose bitmaps allow the threshold."""
 
@@ -214,11 +223,14 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("y"))
-    return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(bound, "a long, b long"), "jaccard-possible")
+    pairs = durable(pairs, "jaccard-named")
+    out = durable(_sides(pairs, left, right).select("a", "b", "na", "nb", "x", "y").mapInArrow(bound, "a long, b long"), "jaccard-possible")
+    release(pairs)
+    return out
 
 
 def _decide(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Durable pairs that reach the threshold, by intersecting the sorted shingle arrays."""
+    """Durable pairs that reach the threshold, by intersecting the sorted shingle arrays; ``pairs`` must be stored."""
 
     def run(batches):
         import pyarrow as pa
@@ -234,7 +246,7 @@ def _decide(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-pairs")
+    return durable(_sides(pairs, left, right).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-pairs")
 
 
 def _compatible(a, b):
