@@ -196,13 +196,15 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return durable(met.dropDuplicates(["node"]), "jaccard-arrays")  # on the join's own partitioning
 
 
-def _sides(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Stored ``pairs`` (a, b) with the columns of both nodes; rows of ``right`` that no pair names are not moved.
+def _asked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Durable: the ``rows`` whose node a pair names, so that joins with few pairs do not move all rows.
 
-    The ids of few pairs are sent to the tasks, while their file is below the
-    broadcast limit; else the same join shuffles both sides by b once.
+    ``pairs`` must be stored; the ids are sent to the tasks only while their file is below the broadcast limit.
     """
-    return pairs.join(left, "a").join(right.join(pairs.select("b"), "b", "left_semi"), "b")
+    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-ids")
+    some = durable(rows.join(ids, "node", "left_semi"), "jaccard-asked")
+    release(ids)
+    return some
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -221,11 +223,12 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             part = batch.filter(pa.array((na + nb - differ) // 2 >= need(na, nb)))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"])
 
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("y"))
     pairs = durable(pairs, "jaccard-named")
-    out = durable(_sides(pairs, left, right).select("a", "b", "na", "nb", "x", "y").mapInArrow(bound, "a long, b long"), "jaccard-possible")
-    release(pairs)
+    some = _asked(pairs, nodes.select("node", "n", "bitmap"))
+    left = some.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("x"))
+    right = some.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("y"))
+    out = durable(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(bound, "a long, b long"), "jaccard-possible")
+    release(pairs, some)
     return out
 
 
@@ -244,9 +247,12 @@ def _decide(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             part = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    return durable(_sides(pairs, left, right).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-pairs")
+    some = _asked(pairs, sets)
+    left = some.select(F.col("node").alias("a"), F.col("s").alias("x"))
+    right = some.select(F.col("node").alias("b"), F.col("s").alias("y"))
+    out = durable(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-pairs")
+    release(some)
+    return out
 
 
 def _compatible(a, b):
