@@ -201,7 +201,8 @@ def _asked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
     ``pairs`` must be stored; the ids are sent to the tasks only while their file is below the broadcast limit.
     """
-    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-ids")
+    one, other = (pairs.select(F.col(x).alias("node")).distinct() for x in ("a", "b"))  # combined before the shuffle
+    ids = durable(one.unionByName(other).distinct(), "jaccard-ids")
     some = durable(rows.join(ids, "node", "left_semi"), "jaccard-asked")
     release(ids)
     return some
@@ -571,7 +572,8 @@ def link_documents(docs: DataFrame, count_links: bool = True) -> DataFrame:
         if found.count() * 2000 <= total:
             break
     groups = components(links) if groups is None else groups
-    release(low)
+    kept = durable(sets.join(groups.select("node"), "node", "left_semi"), "jaccard-arrays")  # arrays of the others are made again if a tile asks for them
+    release(low, sets)
     settle(docs.sparkSession)
     postings = _postings(docs, classes, parts)
     settle(docs.sparkSession)
@@ -587,18 +589,18 @@ def link_documents(docs: DataFrame, count_links: bool = True) -> DataFrame:
     release(small, postings, large)
     settle(docs.sparkSession)
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    new = durable(asked.join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "rep"), "node"), "jaccard-wanted")
+    new = durable(asked.join(kept.select("node"), "node", "left_anti").join(nodes.select("node", "rep"), "node"), "jaccard-wanted")
     made = _arrays(docs, new)
-    links = links.unionByName(_decide(pairs, sets.unionByName(made)))
+    links = links.unionByName(_decide(pairs, kept.unionByName(made)))
     comp = components(links)
     settle(docs.sparkSession)
     joined, more = nodes.select("node", "rep", "copies"), []
     if count_links:
         members = comp.join(nodes.select("node", "copies", "n"), "node")
-        linked = durable(_count_links(members, sets.unionByName(made), parts), "jaccard-linked")
+        linked = durable(_count_links(members, kept.unionByName(made), parts), "jaccard-linked")
         joined = joined.join(linked, "node", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1)
         more = ["n_links"]
-    release(sets, made)
+    release(kept, made)
     settle(docs.sparkSession)
     joined = joined.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"), *more)
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
