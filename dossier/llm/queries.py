@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import chat_format, decontaminate, embed_dedup, jaccard_join, lm_score, mixing, quality, sharding, suffix_dedup, token_output
+from dossier.llm import (
+    chat_format,
+    decontaminate,
+    embed_dedup,
+    jaccard_join,
+    license_scan,
+    lm_score,
+    mixing,
+    quality,
+    sharding,
+    suffix_dedup,
+    token_align,
+    token_output,
+    vector_codes,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +81,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_align.align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +133,35 @@ SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes,
 """
 
 
+def op11_sql() -> str:
+    """The scan over every window of every text, without gates or keywords, from the rule table."""
+    table = ", ".join(f"({k}, '{r.anchor}', '^(?:{r.pattern}) ', '{r.label}', {r.priority}, {r.weight})" for k, r in enumerate(license_scan.rules()))
+    return rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS start FROM t
+), win AS (
+  SELECT r, start, word, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY start ROWS BETWEEN CURRENT ROW AND {license_scan.WINDOW - 1} FOLLOWING) || ' ' AS said FROM p
+), rule(k, anchor, pattern, label, priority, weight) AS (VALUES {table}
+), d AS (
+  SELECT r, start, start + len(regexp_extract(said, pattern)) - len(replace(regexp_extract(said, pattern), ' ', '')) AS stop, k, label, priority, weight
+  FROM win JOIN rule ON anchor = word WHERE regexp_matches(said, pattern)
+), kept AS (
+  SELECT * FROM d AS x WHERE priority = 0 OR NOT EXISTS (
+    SELECT 1 FROM d AS y WHERE y.r = x.r AND y.start <= x.start AND y.stop >= x.stop
+      AND (y.priority, x.stop - x.start - (y.stop - y.start), y.k) < (x.priority, 0, x.k))
+), g AS (
+  SELECT r, count(*) FILTER (WHERE priority = 0) AS n_base, min(start) FILTER (WHERE priority = 0) AS first_word, max(start) FILTER (WHERE priority = 0) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE priority = 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    least(100, max(weight) + 2 * (count(DISTINCT label) - 1)) / 100.0 AS score
+  FROM kept GROUP BY r)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM t LEFT JOIN g USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -117,9 +174,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
+        "op11_license_scan": op11_license_scan,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op7_sharding": OP7_SQL}
+    return {"op1_chat_format": OP1_SQL, "op7_sharding": OP7_SQL, "op11_license_scan": op11_sql()}
