@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from dossier.llm import textcore
 from dossier.llm.durable import durable
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 TOGETHER = 64
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _BLOCKS = (
@@ -145,7 +145,7 @@ class SegmentPairs:
     _INNER = re.compile(r" \s")
     _CUT = re.compile(r"(?<=\S)(?= )")
 
-    def __init__(self, a_path: str, b_path: str, most: int = 700_000):
+    def __init__(self, a_path: str, b_path: str, most: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
