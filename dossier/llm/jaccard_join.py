@@ -4,7 +4,8 @@ Two sets that reach the threshold share one of their first
 ``n - ceil(0.75 n) + 1`` shingles under any common order (prefix filter), so
 documents meet in tiles keyed by those shingles.  The order puts shingles that a
 counting sketch finds frequent last, which keeps common passages out of the
-tiles.  Inside a tile documents lie in size bands (a partner has at most 4/3 of
+tiles; large tiles with the same least document, as those of one passage are, become
+one.  Inside a tile documents lie in size bands (a partner has at most 4/3 of
 the size), and the parity bitmaps of two sets bound their overlap from above:
 the set bits of the XOR never exceed the symmetric difference.  Pairs that pass
 are decided by intersecting the sorted shingle arrays.
@@ -281,8 +282,9 @@ def _pivot_pairs(low: DataFrame, groups: DataFrame | None, turn: int) -> DataFra
 def _postings(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
     """Durable rows of prefix shingles that different sets share.
 
-    A tile of at most SMALL nodes gives its pairs (a, b) of compatible size; a
-    larger one its rows (node, n, t).
+    A tile of at most SMALL nodes gives its pairs (a, b) of compatible size.  Larger
+    ones with the same least node (by hash) are merged, as the tiles of one common
+    passage are, and give their rows (node, n, t), where t names the merged tile.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(classes)
@@ -352,11 +354,18 @@ def _postings(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
                         fit = _compatible(n[i], n[j])
                         pairs.append(np.stack([d[i][fit], d[j][fit]], axis=1))
             pairs = np.unique(np.concatenate(pairs), axis=0)
-            k, q = int(large.sum()), len(pairs)
+            # large tiles of one passage hold nearly the same nodes: those with the same least node (by hash) are one tile
+            least = np.minimum.reduceat(textcore.mix(d.astype(np.uint64)), edge).astype(np.int64)
+            t, d, n = np.repeat(least, many)[large], d[large], n[large]
+            order = np.lexsort((d, t))
+            t, d, n = t[order], d[order], n[order]
+            once = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])])[: len(t)]
+            t, d, n = t[once], d[once], n[once]
+            k, q = len(t), len(pairs)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([pa.array(d[large]), pa.nulls(q, pa.int64())]), pa.concat_arrays([pa.array(n[large]), pa.nulls(q, pa.int64())]),
-                    pa.concat_arrays([pa.array(t[large].astype(np.int64)), pa.nulls(q, pa.int64())]),
+                    pa.concat_arrays([pa.array(d), pa.nulls(q, pa.int64())]), pa.concat_arrays([pa.array(n), pa.nulls(q, pa.int64())]),
+                    pa.concat_arrays([pa.array(t), pa.nulls(q, pa.int64())]),
                     pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(pairs[:, 0].copy())]), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(pairs[:, 1].copy())]),
                 ],
                 names=["node", "n", "t", "a", "b"],
@@ -577,7 +586,7 @@ def link_documents(docs: DataFrame, count_links: bool = True) -> DataFrame:
     settle(docs.sparkSession)
     postings = _postings(docs, classes, parts)
     settle(docs.sparkSession)
-    named = postings.where("node is not null").select("node", "n", "t").join(groups, "node", "left").select("node", "n", "t", F.coalesce("component", "node").alias("g"))
+    named = postings.where("node is not null").select("node", "n", "t").distinct().join(groups, "node", "left").select("node", "n", "t", F.coalesce("component", "node").alias("g"))
     mixed = named.groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("t")
     large = durable(named.join(mixed, "t").select("t", "g", "node", "n"), "jaccard-tiles")
     homes = large.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("t")), 1, HOMES).alias("tiles"))
