@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.sources.stored import release, shared_root
 from dossier.sources.stored import stored as durable
 
-__all__ = ["durable", "fresh", "numbered", "release", "settle", "shared_root"]
+__all__ = ["durable", "fresh", "numbered", "release", "row_hash", "settle", "shared_root"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -32,6 +32,12 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return durable(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of a row of ``df``; columns that hold maps count by their JSON text."""
+    kinds = df.schema
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kinds[c].dataType.simpleString() else F.col(c) for c in df.columns])
+
+
 def settle(spark: SparkSession) -> None:
     """Let the driver drop shuffle files of frames that are no longer referenced."""
     import gc

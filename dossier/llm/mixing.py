@@ -4,8 +4,9 @@ Every source takes its documents a whole number of times and then a subset
 whose word counts sum to the rest of its target.  Documents are counted by exact
 length; a proportional share of each length count is taken first, and a bounded
 knapsack over the remaining counts fits what is left of the budget, with larger
-tables until the budget is met or all of it is covered.  Which
-documents of a length are taken follows from a seeded hash.
+tables until the budget is met, all of it is covered or a table has ``MOST_TABLE``
+words.  Which documents of a length are taken follows from a seeded hash of their
+id; rows of one id, source and size are ordered by a hash of all they hold.
 
 Defined results
 * size: words ``[^\\x20\\x09-\\x0D]+``; null text: 0
@@ -23,14 +24,17 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.durable import durable, fresh, numbered
+from dossier.llm.durable import durable, fresh, numbered, row_hash
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 #: Budget in words that the first knapsack table covers; larger rests are cut down by whole lengths first.
-#: Where it misses the budget, tables of twice the size follow, up to one over the whole budget.
+#: Where it misses the budget, tables of twice the size follow, up to one of MOST_TABLE words or the whole budget.
 KNAPSACK_WORDS = 1 << 14
+#: Largest table: some five bytes a word, and about as much again while it is filled.  A budget above it may be missed
+#: by what the remaining lengths cannot sum to within such a table.
+MOST_TABLE = 1 << 24
 _SPLIT = 256
 
 
@@ -66,15 +70,19 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, order: list[i
         return list(counts)
     unit = math.gcd(*lengths)
     lengths, budget, total = [a // unit for a in lengths], max(budget, 0) // unit, total // unit
+    best, most = [], -1
     while True:
         take = _fit(lengths, counts, budget, total, order, table)
-        if table >= budget or sum(a * b for a, b in zip(lengths, take)) == budget:
-            return take
+        have = sum(a * b for a, b in zip(lengths, take))
+        if have > most:
+            best, most = take, have
+        if table >= min(budget, MOST_TABLE) or have == budget:
+            return best
         table *= 2
 
 
 def _fit(lengths: list[int], counts: list[int], budget: int, total: int, order: list[int], table: int) -> list[int]:
-    """The fit of one table; exact where it covers the budget."""
+    """The fit of one table; the best one where the table covers the budget."""
     if budget <= table:
         return _cover(lengths, counts, budget, order)
     take = [c * budget // total for c in counts]
@@ -119,11 +127,12 @@ def _cover(lengths: list[int], counts: list[int], left: int, order: list[int]) -
 def mix_sources(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, times (copies taken), taken (words)."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return _plan(docs.select("doc_id", "source", size.alias("size"), F.lit(0).cast("long").alias("row")), seed).drop("row")
+    none = F.lit(0).cast("long")
+    return _plan(docs.select("doc_id", "source", size.alias("size"), none.alias("row"), none.alias("tie")), seed).drop("row")
 
 
 def _plan(sizes: DataFrame, seed: int) -> DataFrame:
-    """The mix of ``sizes`` (doc_id, source, size, row); ``row`` passes through."""
+    """The mix of ``sizes`` (doc_id, source, size, row, tie); ``row`` passes through, ``tie`` orders rows alike in the rest."""
     sized = durable(sizes, "mix-sizes")
     targets = source_targets(sized)
     counts = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -157,7 +166,7 @@ def _plan(sizes: DataFrame, seed: int) -> DataFrame:
     )
     met = rows.join(cut, rows.source.eqNullSafe(cut.s) & (rows["size"] == cut.z) & (rows.slot == cut.sl)).drop("s", "z", "sl")
     sure = met.where((F.col("quota") == 0) | (F.col("quota") == F.col("here"))).withColumn("extra", (F.col("quota") > 0).cast("int"))
-    among = Window.partitionBy("source", "size", "slot").orderBy("order", "doc_id")
+    among = Window.partitionBy("source", "size", "slot").orderBy("order", "doc_id", "tie", "row")
     torn = met.where((F.col("quota") > 0) & (F.col("quota") < F.col("here"))).withColumn("extra", (F.row_number().over(among) <= F.col("quota")).cast("int"))
     times = F.col("whole") + F.col("extra")
     return sure.unionByName(torn).select("row", "doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("long").alias("taken"))
@@ -168,6 +177,6 @@ def apply_mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     placed, row = numbered(docs, "mix-rows")
     times, copy = fresh(placed, "times", "copy")
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    plan = _plan(placed.select("doc_id", "source", size.alias("size"), F.col(row).alias("row")), seed)
+    plan = _plan(placed.select("doc_id", "source", size.alias("size"), F.col(row).alias("row"), row_hash(docs).alias("tie")), seed)
     taken = plan.where("times > 0").select(F.col("row").alias(row), F.col("times").alias(times))
     return placed.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
