@@ -262,10 +262,12 @@ def read_documents(blocks: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 base = batch.column("base")[i].as_py()
                 names, ends, ids = read_block(batch.column("block")[i].as_py())
-                ends = ends.values()
-                begin = np.concatenate([[0], ends[:-1]])
-                raw = ids.astype("<u4")
-                crc = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), ends.tolist())]
+                raw, crc, at = ids.astype("<u4"), [], [0]
+                for k in range(ends.n):
+                    at.append(ends.select(k))  # the boundary, from the coded block
+                    crc.append(zlib.crc32(raw[at[k] : at[k + 1]]))
+                at = np.array(at, np.int64)
+                begin, ends = at[:-1], at[1:]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.int64()), pa.array(begin + base), pa.array(ends - begin), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
