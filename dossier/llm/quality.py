@@ -160,7 +160,7 @@ def _logit(p: Column) -> Column:
 def _fit(docs: DataFrame, labels: DataFrame, fit_rows: int, bins: int):
     chosen = labels.where("quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(fit_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "doc_id")
 
     def extract(batches):
         import pyarrow as pa
@@ -169,11 +169,13 @@ def _fit(docs: DataFrame, labels: DataFrame, fit_rows: int, bins: int):
             feats, first = _features(data, offsets, bins)
             part = batch.slice(i, j - i)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("quality").cast(pa.int32()), part.column("toxic").cast(pa.int32()), pa.array([feats[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())],
-                names=["doc_id", "quality", "toxic", "f"],
+                [part.column("doc_id"), part.column("quality").cast(pa.int32()), part.column("toxic").cast(pa.int32()), pa.array([feats[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary()), part.column("h")],
+                names=["doc_id", "quality", "toxic", "f", "h"],
             )
 
-    rows = sample.mapInArrow(extract, "doc_id long, quality int, toxic int, f binary").toArrow().sort_by("doc_id")
+    found = sample.mapInArrow(extract, "doc_id long, quality int, toxic int, f binary, h long")
+    one = F.min(F.struct("h", "quality", "toxic", "f")).alias("least")  # of the rows of one id; fit_rows ids at most
+    rows = found.groupBy("doc_id").agg(one).select("doc_id", "least.quality", "least.toxic", "least.f").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return None
     each = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["f"]]
