@@ -145,7 +145,7 @@ class SegmentPairs:
     _INNER = re.compile(r" \s")
     _CUT = re.compile(r"(?<=\S)(?= )")
 
-    def __init__(self, a_path: str, b_path: str, most: int = 300_000):
+    def __init__(self, a_path: str, b_path: str, most: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
