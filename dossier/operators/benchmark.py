@@ -26,13 +26,22 @@ def _broken(rules: dict[str, Column]) -> Column:
     return F.explode(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules.items()])))
 
 
+def _unknown_names(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """question_id and how many required documents, audited documents and tickers of its scope no document has."""
+    named = lambda kind, values: questions.select("question_id", F.lit(kind).alias("kind"), F.explode(values).alias("name"))
+    asked = named("document", F.transform("required_documents", lambda r: r["document_id"])).unionByName(named("audited", F.col("absence_audit.document_ids")))
+    unknown = asked.join(documents.select(F.col("document_id").alias("name")).distinct(), "name", "left_anti")
+    tickers = named("ticker", F.col("query_scope.tickers")).join(documents.select(F.col("ticker").alias("name")).distinct(), "name", "left_anti")
+    count = lambda kind: F.count_if(F.col("kind") == kind).alias(f"no_{kind}")
+    return unknown.unionByName(tickers).groupBy("question_id").agg(*map(count, ("document", "audited", "ticker")))
+
+
 def question_violations(questions: DataFrame, documents: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """question_id, rule.
 
     ``questions`` has the question record's columns; ``documents``: document_id, ticker, report_date.
     """
-    known = documents.agg(F.collect_set("document_id").alias("known_docs"), F.collect_set("ticker").alias("known_tickers"))
-    q = questions.join(F.broadcast(known))
+    q = questions.join(_unknown_names(questions, documents), "question_id", "left")
     own = questions.select("question_id", F.explode("required_documents").alias("r")).select("question_id", F.col("r.document_id").alias("document_id"))
     facts = own.join(documents, "document_id").groupBy("question_id").agg(F.collect_set("ticker").alias("doc_tickers"), F.collect_set(F.substring("report_date", 1, 4).cast("int")).alias("doc_years"))
     q = q.join(facts, "question_id", "left")
@@ -50,8 +59,8 @@ def question_violations(questions: DataFrame, documents: DataFrame, categories:
         "category": F.col("category").isin(*categories), "difficulty": F.col("difficulty").isin(*DIFFICULTIES),
         "answerable_flag": yes.isNotNull(), "variants": _filled(F.col("acceptable_answer_variants")),
         "review_status": F.col("review_status").isin(*REVIEWS), "review_notes": _filled(F.col("review_notes")),
-        "unique_documents": F.size(F.array_distinct(ids)) == F.size(ids), "known_documents": F.size(F.array_except(ids, "known_docs")) == 0,
-        "multi_label": F.col("multiple_documents_required") == (F.size(ids) > 1), "scope_tickers": F.size(F.array_except(tickers, "known_tickers")) == 0,
+        "unique_documents": F.size(F.array_distinct(ids)) == F.size(ids), "known_documents": F.coalesce("no_document", F.lit(0)) == 0,
+        "multi_label": F.col("multiple_documents_required") == (F.size(ids) > 1), "scope_tickers": tickers.isNotNull() & (F.coalesce("no_ticker", F.lit(0)) == 0),
         "scope_years": (F.size(years) > 0) & F.forall(years, lambda y: y.between(1900, 2200)),
         "answer_present": no | _filled(F.col("expected_answer")), "support_present": no | ((F.size(ids) > 0) & (F.size("evidence") > 0)),
         "no_absence_notes": no | (F.col("unanswerable_reason").isNull() & F.col("absence_audit").isNull()),
@@ -61,7 +70,7 @@ def question_violations(questions: DataFrame, documents: DataFrame, categories:
         "no_leak": no | (F.length(answer) < 8) | ~F.contains(_plain(F.col("question")), answer),
         "null_answer": yes | F.col("expected_answer").isNull(), "no_support": yes | ((F.size(ids) == 0) & (F.size("evidence") == 0)),
         "reason_present": yes | _filled(F.col("unanswerable_reason")), "target_present": yes | (F.size(tickers) > 0) | _filled(outside),
-        "audit": yes | ((F.size("absence_audit.document_ids") > 0) & (F.size(F.array_except("absence_audit.document_ids", "known_docs")) == 0)
+        "audit": yes | ((F.size("absence_audit.document_ids") > 0) & (F.coalesce("no_audited", F.lit(0)) == 0)
                         & (F.size("absence_audit.search_terms") > 0) & F.forall("absence_audit.search_terms", _filled) & _filled(F.col("absence_audit.inspection_notes"))),
         "unique_evidence": F.size(F.array_distinct(ev_ids)) == F.size(ev_ids), "evidence_documents": same(F.array_distinct(ids), F.array_distinct(ev_docs)),
         "several_documents": ~F.col("category").isin("cross_document", "comparative") | (F.size(ids) >= 2),

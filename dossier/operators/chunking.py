@@ -18,7 +18,9 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.canonical import row_digest
 from dossier.functions.ids import digest, record_digest
+from dossier.operators.quantiles import exact_quantiles
 
 VERSION = "1"
 STRATEGIES = ("fixed_size", "recursive", "sections")
@@ -206,7 +208,8 @@ def clip_tables(content: Column, start: Column, end: Column) -> Column:
 def chunk_documents(documents: DataFrame, c: ChunkingConfig, carry: tuple[str, ...] = ()) -> DataFrame:
     """Chunks with text, section references, scope, tables, overlap and content-addressed ids."""
     keep = ["document_id", "text", *carry] + [x for x in ("sections", "content") if x in documents.columns]
-    d = documents.select(*keep).withColumn("parsed_sha256", F.sha2("text", 256))
+    d = documents.select(*keep)
+    d = d.withColumn("parsed_document_sha256", row_digest(d, *digest_columns(d)))
     spread = _spread(d, c, True)
     before = F.when(F.col("chunk.chunk_index") > 0, F.element_at("__spans", F.col("chunk.chunk_index"))["end_char"])
     overlap = F.coalesce(F.greatest(F.lit(0), before - F.col("chunk.start_char")), F.lit(0))
@@ -226,10 +229,21 @@ def chunk_documents(documents: DataFrame, c: ChunkingConfig, carry: tuple[str, .
     if "content" in documents.columns:
         out = out.withColumn("table_fragments", clip_tables(F.col("content"), F.col("start_char"), F.col("end_char"))).drop("content")
     name = record_digest(
-        {"version": F.lit(VERSION), "experiment_id": F.lit(c.experiment_id), "parsed_document_sha256": F.col("parsed_sha256"), "document_id": F.col("document_id").cast("string")},
+        {"version": F.lit(VERSION), "experiment_id": F.lit(c.experiment_id), "parsed_document_sha256": F.col("parsed_document_sha256"), "document_id": F.col("document_id").cast("string")},
         {"chunk_index": F.col("chunk_index"), "start_char": F.col("start_char"), "end_char": F.col("end_char")},
     )
-    return out.withColumn("chunk_id", name).drop("parsed_sha256")
+    return out.withColumns({"chunk_id": name, "version": F.lit(VERSION), "experiment_id": F.lit(c.experiment_id), "strategy": F.lit(c.strategy)})
+
+
+def digest_columns(documents: DataFrame) -> list[str]:
+    """The columns of parsed documents that their digest covers: all that have a canonical text."""
+    floats = re.compile(r"\b(float|double|decimal|date|timestamp|binary)")
+    return [f.name for f in documents.schema.fields if not floats.search(f.dataType.simpleString())]
+
+
+def manifest_of(chunks: DataFrame, documents: DataFrame, c: ChunkingConfig) -> dict:
+    """What ``files.validate_chunks`` checks stored chunks against."""
+    return {"version": VERSION, "experiment_id": c.experiment_id, "strategy": c.strategy, "digest": digest_columns(documents), "total_chunks": chunks.count()}
 
 
 def document_violations(documents: DataFrame, provenance: tuple[str, ...]) -> DataFrame:
@@ -251,17 +265,25 @@ def document_violations(documents: DataFrame, provenance: tuple[str, ...]) -> Da
 
 
 def chunk_statistics(chunks: DataFrame, by: list[str], minimum: int) -> DataFrame:
-    """Corpus and per-group figures in one pass (grouping sets (by), ())."""
+    """Corpus and per-group figures in one pass (grouping sets (by), ()); medians by selection, without a buffer of a group."""
     n = F.col("character_count")
     measures = [
-        F.count(n).alias("chunks"), F.round(F.avg(n), 2).alias("mean_chars"), F.median(n).alias("median_chars"), F.min(n).alias("min_chars"),
-        F.max(n).alias("max_chars"), F.count_if(n < minimum).alias("small"), F.sum(n).alias("total_chars"),
+        F.count(n).alias("chunks"), F.round(F.avg(n), 2).alias("mean_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.count_if(n < minimum).alias("small"),
+        F.sum(n).alias("total_chars"), F.grouping_id().alias("level"),
     ]
     if "sections" in chunks.columns:
         measures.append(F.count_if(F.size("sections") > 1).alias("mixed"))
     if "table_fragments" in chunks.columns:
         measures += [F.count_if(F.size("table_fragments") > 0).alias("with_tables"), F.count_if(F.exists("table_fragments", lambda t: t["is_partial"])).alias("with_partial_tables")]
-    return chunks.rollup(*by).agg(*measures) if len(by) == 1 else chunks.groupingSets([by, []], *by).agg(*measures)
+    figures = chunks.groupingSets([[F.col(c) for c in by], []], *by).agg(*measures)
+    whole = (1 << len(by)) - 1
+    each = exact_quantiles(chunks, by, n, {"median_chars": "median"}).withColumn("level", F.lit(0))
+    every = exact_quantiles(chunks, [], n, {"median_chars": "median"}).withColumn("level", F.lit(whole))
+    medians = each.unionByName(every, allowMissingColumns=True)
+    on = F.col("l.level") == F.col("r.level")
+    for c in by:
+        on = on & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return figures.alias("l").join(medians.alias("r"), on, "left").select("l.*", "r.median_chars").drop("level")
 
 
 def item_distribution(chunks: DataFrame) -> DataFrame:

@@ -12,6 +12,12 @@ YEAR = r"\b(20\d{2})\b"
 COMPANIES = (("Apple", "AAPL"), ("Microsoft", "MSFT"), ("NVIDIA", "NVDA"))
 METRICS = ("revenue", "net_income", "operating_income", "total_assets", "total_liabilities", "cash_and_cash_equivalents")
 
+REASONS = {
+    "empty": "empty query", "document_retrieval+financial_data": "financial fact requested with narrative explanation",
+    "financial_data": "standardized financial metric and fiscal year detected", "document_retrieval": "SEC narrative or section language detected",
+    "abstain": "no supported source pattern detected",
+}
+
 
 def route(query: Column) -> Column:
     """document_retrieval, financial_data, both joined by +, or abstain."""
@@ -24,11 +30,10 @@ def route(query: Column) -> Column:
 
 def reason(query: Column) -> Column:
     r = route(query)
-    return (
-        F.when(F.coalesce(F.trim(query), F.lit("")) == "", "empty query").when(r == "document_retrieval+financial_data", "financial fact requested with narrative explanation")
-        .when(r == "financial_data", "standardized financial metric and fiscal year detected").when(r == "document_retrieval", "SEC narrative or section language detected")
-        .otherwise("no supported source pattern detected")
-    )
+    named = F.when(F.coalesce(F.trim(query), F.lit("")) == "", REASONS["empty"])
+    for name in ("document_retrieval+financial_data", "financial_data", "document_retrieval"):
+        named = named.when(r == name, REASONS[name])
+    return named.otherwise(REASONS["abstain"])
 
 
 def ticker_slot(query: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import PRIVATE_MASKS, SECRET_KEY, mask_keys, retrieval_tokens, token_f1
-from dossier.operators import answers, benchmark, chunking, dense, evidence, facts, grounding, html, lexical, rerank, router, sections, traces
+from dossier.operators import answers, benchmark, chunking, dense, evidence, facts, grounding, html, lexical, postings, rerank, router, sections, traces
 from dossier.plans import frames
 from dossier.plans.frames import table
 from dossier.sources import files, filings
@@ -144,9 +144,10 @@ def tokenize_stats(spark, d):
 WITH {_BASE} SELECT token, df, CAST(sum(tf) AS BIGINT) AS occurrences, round(ln(1 + (any_value(n) - df + 0.5) / (df + 0.5)), 6) AS idf
 FROM post JOIN df USING (token), stat GROUP BY token, df ORDER BY df DESC, token LIMIT 50""")
 def posting_list_top_terms(spark, d):
-    docs = frames.documents(spark, d)
-    n = F.lit(docs.count())
-    g = lexical.postings(lexical.document_tokens(docs)).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences")).orderBy(F.desc("df"), "token").limit(50)
+    index = frames.index(spark, d)
+    n = F.lit(index.n)
+    terms = index.blocks.select("token", "n", F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x).alias("tf"))
+    g = terms.groupBy("token").agg(F.sum("n").alias("df"), F.sum("tf").alias("occurrences")).orderBy(F.desc("df"), "token").limit(50)
     return g.select("token", "df", "occurrences", F.round(F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
@@ -161,9 +162,8 @@ pos AS (SELECT qid, count(*) AS n FROM s_bm25 WHERE score <> 0 GROUP BY qid)
 SELECT qid, coalesce(any_value(pos.n), 0) AS n_positive, bool_or(score = 0) AS zero_in_top
 FROM r_bm25 LEFT JOIN pos USING (qid) WHERE rank <= 10 GROUP BY qid""")
 def zero_score_diagnostics(spark, d):
-    ids = frames.documents(spark, d).select(F.col("doc_id").alias("id"))
-    s = frames.scores(spark, d, "bm25")
-    return lexical.zero_score_diagnostics(lexical.top_ranked(s, ids, frames.questions(spark, d), 10), s)
+    a = frames.asked(spark, d)
+    return lexical.zero_score_diagnostics(postings.top_k(a, 10), postings.positive_counts(a))
 
 
 @_register("""
@@ -611,7 +611,7 @@ WITH x AS (SELECT event_type, CASE WHEN event_type <> 'signup' THEN value - 5 EN
 SELECT event_type, count(v) AS latency_count, count(*) FILTER (WHERE v IS NULL) AS latency_unavailable, round(avg(v), 6) AS latency_mean, round(median(v), 6) AS latency_median, quantile_disc(v, 0.95) AS latency_p95 FROM y GROUP BY event_type""")
 def latency_distribution_p95(spark, d):
     e = table(spark, d, "events").select("event_type", F.when(F.col("event_type") != "signup", F.col("value") - 5).alias("v"))
-    return e.groupBy("event_type").agg(*traces.distribution("v", "latency"))
+    return traces.distribution_by(e, ["event_type"], "v", "latency")
 
 
 @_register("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.operators import chunking, dense, lexical
+from dossier.operators import chunking, dense, lexical, postings
 from dossier.operators.evidence import find_passages
 from dossier.sources.files import read_table as table
 from dossier.sources.stored import stored
@@ -60,16 +60,27 @@ def tokens(spark: SparkSession, d: str) -> DataFrame:
     return lexical.document_tokens(documents(spark, d))
 
 
-def scores(spark: SparkSession, d: str, system: str, t: DataFrame | None = None, best: int | None = None) -> DataFrame:
-    """Scores, written once."""
-    k1, b = SYSTEMS[system]
-    return stored(lexical.bm25_scores(tokens(spark, d) if t is None else t, questions(spark, d), k1, b, best), "scores")
+_INDEXES: dict[tuple, postings.Index] = {}
+
+
+def index(spark: SparkSession, d: str) -> postings.Index:
+    """The stored postings of the documents, built once for the files that are there in an application."""
+    files = documents(spark, d).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*files.columns)).alias("h")).first()
+    key = (spark.sparkContext.applicationId, d, state.n, state.h)
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.build_index(documents(spark, d))
+    return _INDEXES[key]
+
+
+def asked(spark: SparkSession, d: str, system: str = "bm25") -> postings.Asked:
+    """The benchmark items as questions to the index."""
+    return postings.ask(index(spark, d), questions(spark, d), *SYSTEMS[system])
 
 
 def bm25_top(spark: SparkSession, d: str, k: int) -> DataFrame:
     """qid, id, score, rank <= k."""
-    ids = documents(spark, d).select(F.col("doc_id").alias("id"))
-    return lexical.top_ranked(scores(spark, d, "bm25", best=k), ids, questions(spark, d), k)
+    return postings.top_k(asked(spark, d), k)
 
 
 def dense_top(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
@@ -81,15 +92,13 @@ def dense_top(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
 
 def ranked(spark: SparkSession, d: str, gold: DataFrame, k: int = DEPTH) -> DataFrame:
     """system, qid, chunk_id, rank <= k for both settings and their fusion, plus the full-ranking places of relevant documents."""
-    t, ids = tokens(spark, d), documents(spark, d).select(F.col("doc_id").alias("id"))
-    q = questions(spark, d)
     tops, out = [], None
-    rel = gold.select("qid", F.col("document_id").alias("id")).distinct()
+    rel = stored(gold.select("qid", F.col("document_id").alias("id")).distinct(), "relevant")
     for name in SYSTEMS:
-        s = scores(spark, d, name, t)
-        top = lexical.top_ranked(s, ids, q, k)
+        a = asked(spark, d, name)
+        top = postings.top_k(a, k)
         tops.append(top)
-        far = lexical.rank_within(s, ids, rel).where(F.col("rank") > k)
+        far = postings.ranks(a, rel).where(F.col("rank") > k)
         part = top.select("qid", "id", F.col("rank").cast("long")).unionByName(far).withColumn("system", F.lit(name))
         out = part if out is None else out.unionByName(part)
     both = lexical.fuse_rankings(tops, 60.0, k).select("qid", "id", F.col("rank").cast("long"), F.lit("rrf").alias("system"))

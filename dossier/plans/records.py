@@ -13,12 +13,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.functions.canonical import row_digest
 from dossier.functions.text import collapse_space, mask_json, nonspace_length, strip_right
 from dossier.operators import answers, benchmark, chunking, dense, evidence, facts, grounding, html, rerank, retrieval, sections, traces
 from dossier.plans import catalog, frames
 from dossier.plans.frames import table
-from dossier.sources import files, filings
-from dossier.sources.stored import shared_root
+from dossier.sources import files, filings, snapshots
+from dossier.sources.caches import CacheTable
+from dossier.sources.stored import shared_root, stored
 from dossier.streaming import events as event_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,40 +86,60 @@ def vector_store(spark, d):
     return got.select("id", F.size("vector").cast("long").alias("dims"), F.round(F.col("vector")[0].cast("double"), 6).alias("head"), F.lit(len(paths)).cast("long").alias("folders"))
 
 
-@_register("""SELECT 'T' || c_custkey AS ticker, sha256('{"cik":' || c_custkey || '}') AS sha256, '{"cik":' || c_custkey || '}' AS kept FROM customer WHERE c_custkey % 50 = 0""")
+@_register("""
+SELECT 'T' || c_custkey AS ticker, sha256(j) AS sha256, j AS kept, true AS whole
+FROM (SELECT c_custkey, '{"cik":' || c_custkey || ',' || chr(10) || ' "name":"' || c_name || '"}' AS j FROM customer)""")
 def payload_retention(spark, d):
-    """Payloads stored under their hash before use, and read back from there."""
-    p = _customers(spark, d).where("k % 50 = 0").select(F.concat(F.lit("T"), _string("k")).alias("ticker"), F.concat(F.lit('{"cik":'), _string("k"), F.lit("}")).alias("json"))
+    """Payloads of two lines stored under their hash before use, twice, and read back from there."""
+    json = F.concat(F.lit('{"cik":'), _string("k"), F.lit(',\n "name":"'), "c_name", F.lit('"}'))
+    p = _customers(spark, d).select(F.concat(F.lit("T"), _string("k")).alias("ticker"), json.alias("json"))
     root = _folder(spark, "payloads")
-    named = files.retain_payloads(p.coalesce(1), root)
-    kept = spark.read.text(root).select("ticker", "sha256", F.col("value").alias("kept"))
-    return named.join(kept, ["ticker", "sha256"])
+    files.retain_payloads(p, root)
+    named = files.retain_payloads(p.unionByName(p), root)  # adds nothing
+    return named.join(files.kept_payloads(spark, root), ["ticker", "sha256"]).select("ticker", "sha256", F.col("json").alias("kept"), "whole")
 
 
 @_register("""
-WITH e AS (SELECT event_type || '-' || event_id AS trace_id, event_type, event_id FROM events WHERE event_id < 3000)
-SELECT trace_id, event_type AS source_kind, event_id % 7 = 0 AS stale FROM e WHERE event_type IN ('view', 'error')""")
+WITH e AS (SELECT event_type || '-' || event_id AS trace_id, event_type, event_id FROM events)
+SELECT trace_id, event_type AS source_kind, event_id % 7 = 0 AS stale, 2::BIGINT AS versions FROM e WHERE event_type IN ('view', 'error')""")
 def trace_store(spark, d):
-    """Traces stored by kind and read back, with the ids that a new set no longer has."""
-    e = table(spark, d, "events").where("event_id < 3000").select(F.concat_ws("-", "event_type", _string("event_id")).alias("trace_id"), F.col("event_type").alias("source_kind"), "event_id")
+    """Traces stored by kind; a second set replaces them, while a reader of the first keeps its rows and learns which ids went."""
+    e = table(spark, d, "events").select(F.concat_ws("-", "event_type", _string("event_id")).alias("trace_id"), F.col("event_type").alias("source_kind"), "event_id")
     root = _folder(spark, "traces")
     files.save_traces(e, root)
-    old = spark.read.parquet(root).where("source_kind in ('view', 'error')")
-    stale = files.stale_ids(old, e.where("event_id % 7 <> 0")).withColumn("stale", F.lit(True))
-    return old.join(stale, "trace_id", "left").select("trace_id", "source_kind", F.coalesce("stale", F.lit(False)).alias("stale"))
+    old = snapshots.read(spark, root).where("source_kind in ('view', 'error')")
+    stale = files.save_traces(e.where("event_id % 7 <> 0"), root).withColumn("stale", F.lit(True))
+    many = len(snapshots.versions(spark, root))
+    return old.join(stale, "trace_id", "left").select("trace_id", "source_kind", F.coalesce("stale", F.lit(False)).alias("stale"), F.lit(many).cast("long").alias("versions"))
+
+
+@_register("""
+SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'second' WHEN c_custkey % 3 = 1 THEN 'first' END AS source, 3::BIGINT AS version
+FROM customer WHERE c_custkey % 3 < 2 UNION ALL SELECT -c_custkey, 'second', 3 FROM customer WHERE c_custkey % 3 = 0""")
+def snapshot_table(spark, d):
+    """A table of three versions: all customers, an upsert of a third of them with new ones, and a deletion of another third."""
+    root = _folder(spark, "snapshots")
+    c = _customers(spark, d).select(F.col("k").cast("long").alias("k"))
+    snapshots.publish(c.withColumn("source", F.lit("first")), root)
+    third = c.where("k % 3 = 0")
+    snapshots.upsert(third.unionByName(third.select((-F.col("k")).alias("k"))).withColumn("source", F.lit("second")), root, ["k"])
+    version = snapshots.delete(spark, root, c.where("k % 3 = 2"), ["k"])
+    snapshots.vacuum(spark, root, 1)
+    return snapshots.read(spark, root).withColumn("version", F.lit(version).cast("long"))
 
 
 @_register("""
 SELECT 'T' || c_custkey AS ticker, c_name AS company, m AS metric, round(c_acctbal * i, 2) AS value
-FROM customer, (VALUES ('net_income', 1), ('total_assets', 2)) AS t(m, i) WHERE c_custkey % 20 = 1 AND (i = 1 OR c_custkey % 40 = 1)""")
+FROM customer, (VALUES ('net_income', 1), ('total_assets', 2)) AS t(m, i) WHERE i = 1 OR c_custkey % 40 = 1""")
 def cached_fact_files(spark, d):
-    """Fact files of companies, merged into one table."""
+    """Fact files of all companies, merged into one table."""
     k = F.col("k")
     fact = lambda name, i: F.struct(F.lit(name).alias("metric"), F.round(F.col("c_acctbal") * i, 2).alias("value"))
     both = F.when(k % 40 == 1, F.array(fact("net_income", 1), fact("total_assets", 2))).otherwise(F.array(fact("net_income", 1)))
     root = _folder(spark, "companies")
-    _customers(spark, d).where("k % 20 = 1").select("k", F.concat(F.lit("T"), _string("k")).alias("ticker"), F.col("c_name").alias("company"), both.alias("facts")).write.partitionBy("k").json(root)
-    return facts.flatten_cache(files.read_json(spark, f"{root}/*", "ticker string, company string, facts array<struct<metric:string,value:double>>"))
+    _customers(spark, d).select(F.concat(F.lit("T"), _string("k")).alias("ticker"), F.col("c_name").alias("company"), both.alias("facts")).write.json(root)
+    schema = "ticker string, company string, facts array<struct<metric:string,value:double>>"
+    return facts.flatten_cache(spark.read.schema(schema).json(root))
 
 
 # ---------------------------------------------------------------- text and pages
@@ -232,7 +254,7 @@ _NATURAL = chunking.ChunkingConfig("recursive", 400, 50, 60)
 @_register(f"""
 WITH RECURSIVE {_walk_sql(_NATURAL)}
 SELECT w.doc_id AS document_id, k - 1 AS chunk_index, a AS start_char, b AS end_char, md5(substr(text, a + 1, b - a)) AS text_md5,
-  sha256('{{"chunk_index":' || (k - 1) || ',"document_id":"' || w.doc_id || '","end_char":' || b || ',"experiment_id":"{_NATURAL.experiment_id}","parsed_document_sha256":"' || sha256(text) || '","start_char":' || a || ',"version":"1"}}') AS chunk_id
+  sha256('{{"chunk_index":' || (k - 1) || ',"document_id":"' || w.doc_id || '","end_char":' || b || ',"experiment_id":"{_NATURAL.experiment_id}","parsed_document_sha256":"' || sha256('{{"document_id":' || w.doc_id || ',"text":' || to_json(text) || '}}') || '","start_char":' || a || ',"version":"1"}}') AS chunk_id
 FROM walk w JOIN d ON d.doc_id = w.doc_id WHERE k > 0""")
 def chunk_natural(spark, d):
     """Chunks at natural boundaries with their content-addressed ids; SQL walks every text step by step."""
@@ -404,13 +426,13 @@ a AS (SELECT 'bm25' AS score_type, qid, id, score, rank FROM r_bm25 UNION ALL SE
 SELECT score_type, qid, a.id AS chunk_id, rank, score, length(text) AS characters FROM a JOIN documents ON doc_id = a.id WHERE rank <= 5""")
 def retrieval_modes(spark, d):
     """The five best chunks of every item by each mode."""
-    t, q = frames.tokens(spark, d), frames.questions(spark, d)
+    index, q = frames.index(spark, d), frames.questions(spark, d)
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = v.join(q.select("qid"), F.col("id") == F.col("qid")).select("qid", "vector")
     chunks = frames.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.length("text").cast("long").alias("characters"))
     out = None
     for mode in retrieval.MODES:
-        part = retrieval.retrieve(mode, 5, chunks, q, t, v, asked).select("score_type", "qid", "chunk_id", F.col("rank").cast("long").alias("rank"), "score", "characters")
+        part = retrieval.retrieve(mode, 5, chunks, q, index, v, asked).select("score_type", "qid", "chunk_id", F.col("rank").cast("long").alias("rank"), "score", "characters")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -534,10 +556,11 @@ def question_evidence(spark, d):
 
 
 @_register("""
-SELECT 'D' || i AS document_id, CASE i % 10 WHEN 1 THEN 'missing' WHEN 2 THEN 'unexpected' ELSE 'changed' END AS problem FROM range(100) t(i) WHERE i % 10 IN (1, 2, 3)""")
+SELECT 'D' || doc_id AS document_id, CASE doc_id % 10 WHEN 1 THEN 'missing' WHEN 2 THEN 'unexpected' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 10 IN (1, 2, 3)""")
 def corpus_manifest(spark, d):
-    docs = _reference_documents(spark).withColumn("n", F.substring("document_id", 2, 9).cast("int") % 10)
-    wanted = docs.where("n <> 2").select("document_id", F.sha2(F.when(F.col("n") == 3, F.lit("x")).otherwise(F.col("text")), 256).alias("text_sha256"))
+    """The documents against a manifest of their text hashes: a tenth is missing, one unexpected, one changed."""
+    docs = frames.documents(spark, d).select(F.concat(F.lit("D"), _string("doc_id")).alias("document_id"), "text", (F.col("doc_id") % 10).alias("n"))
+    wanted = docs.where("n <> 2").select("document_id", F.sha2(F.when(F.col("n") == 3, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("text_sha256"))
     return benchmark.corpus_mismatches(docs.where("n <> 1"), wanted)
 
 
@@ -724,12 +747,12 @@ def public_fields(spark, d):
 
 
 @_register("""
-WITH e AS (SELECT event_id, event_type AS t, event_id % 9 AS m, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE event_id < 20000)
+WITH e AS (SELECT event_id, event_type AS t, event_id % 9 AS m, CAST(props->>'$.k' AS BIGINT) AS k FROM events)
 SELECT CASE m WHEN 1 THEN 'bad id!' WHEN 8 THEN 'given-' || event_id ELSE sha256('6.1' || chr(1) || 'event' || chr(1) || event_id) END AS trace_id, unnest(CASE m WHEN 1 THEN ['trace_id'] WHEN 2 THEN ['schema_version'] WHEN 3 THEN ['categories'] WHEN 4 THEN ['primary'] WHEN 5 THEN ['input_tokens'] ELSE [] END) AS rule FROM e""")
 def trace_rules(spark, d):
     """Built traces, some with a given id, and the rules that damaged ones break."""
     m = F.col("source_id") % 9
-    e = catalog._event_runs(spark, d).where("event_id < 20000").withColumn("source_id", F.col("event_id")).withColumn("source_kind", F.lit("event"))
+    e = catalog._event_runs(spark, d).withColumn("source_id", F.col("event_id")).withColumn("source_kind", F.lit("event"))
     given = F.when(m == 8, F.concat(F.lit("given-"), _string("source_id")))
     built = traces.build_traces(e.withColumn("trace_id", given)).withColumn("input_tokens", F.when(m == 5, -1).otherwise(1))
     broken = built.withColumns({
@@ -750,6 +773,143 @@ def attempt_usage(spark, d):
     return u.groupBy("event_type").agg(F.sum("n").alias("input_tokens"), F.count_if(F.col("n").isNull()).alias("unknown"))
 
 
+_BRANCHES = """
+x AS (SELECT event_id, event_id % 12 AS m, event_id // 12 % 2 AS n FROM events),
+r AS (SELECT event_id, m, n, [CASE WHEN n = 1 AND m < 10 THEN list_extract(['success', 'expected_abstention', 'unsupported_query', 'retrieval_failure', 'tool_failure', 'routing_failure', 'generation_failure', 'citation_failure', 'invalid_output', 'partial_evidence'], m + 1)
+    WHEN n = 1 AND m = 10 THEN 'strange' END] AS errors,
+  n = 0 AND m = 0 AS insufficient_by_kind, n = 0 AND m = 1 AS insufficient_by_route, n = 0 AND m = 2 AS tool_bad, n = 0 AND m = 3 AS search_bad, n = 0 AND m = 4 AS partly, n = 0 AND m = 5 AS wrong_route,
+  n = 0 AND m = 6 AS provider, n = 0 AND m = 7 AS prepared, n = 0 AND m = 8 AS over_abstained, n = 0 AND m = 9 AS abstains, n = 0 AND m = 10 AS money_partial FROM x),
+f AS (SELECT event_id, list_distinct(list_filter(errors || [
+    CASE WHEN insufficient_by_kind OR insufficient_by_route OR search_bad THEN 'retrieval_failure' END, CASE WHEN tool_bad THEN 'tool_failure' END, CASE WHEN partly OR money_partial THEN 'partial_evidence' END,
+    CASE WHEN wrong_route THEN 'routing_failure' END, CASE WHEN provider OR over_abstained THEN 'generation_failure' END, CASE WHEN prepared THEN 'invalid_output' END, CASE WHEN abstains THEN 'unsupported_query' END,
+    CASE WHEN n = 0 AND m = 11 OR n = 1 AND m = 11 THEN 'success' END], lambda e: e IS NOT NULL)) AS found FROM r)"""
+
+
+def _branch_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A run per event; each number modulo 12 meets one rule of the classifier, in the second half through a label among the errors."""
+    m, n = F.col("event_id") % 12, F.floor(F.col("event_id") / 12) % 2
+    only = lambda *k: (n == 0) & m.isin(*k)
+    none = F.lit(None).cast("boolean")
+    error = F.element_at(F.array(*map(F.lit, (*traces.TAXONOMY, "strange"))), (m + 1).cast("int"))
+    search = F.struct(F.lit("document_retrieval").alias("name"), F.when(only(3), "error").otherwise("success").alias("status"))
+    money = F.struct(F.lit("financial_data").alias("name"), F.when(only(2), "invalid_input").when(only(4), "unavailable").otherwise("success").alias("status"))
+    tools = F.when(only(2, 4, 10), F.array(search, money)).when(only(0, 9), F.array().cast("array<struct<name:string,status:string>>")).otherwise(F.array(search))
+    return table(spark, d, "events").select(
+        "event_id", F.col("event_id").alias("source_id"), F.when((n == 1) & (m < 11), F.array(error)).otherwise(F.array().cast("array<string>")).alias("errors"),
+        F.when(only(5), False).otherwise(none).alias("routing_correct"), F.lit(False).alias("routing_error"), F.when(only(9), "abstain").when(only(0), F.lit(None).cast("string")).otherwise("document_retrieval").alias("route"),
+        tools.alias("tools"), F.when(only(6), "incomplete_output").when(only(7), "preparation_error").otherwise("success").alias("generation_status"), (~only(0, 1, 10)).alias("evidence_sufficient"),
+        F.when(only(8), True).when(only(10), False).otherwise(none).alias("result_sufficient"), F.when(only(8), False).otherwise(none).alias("expected_abstention"), only(8).alias("abstained"), F.lit(True).alias("contract_valid"),
+        F.when(only(0), traces.RETRIEVAL_SOURCE).otherwise("runtime").alias("source_kind"),
+    )
+
+
+@_register(f"""
+WITH {_BRANCHES}
+SELECT event_id, array_to_string(list_filter(['success', 'expected_abstention', 'unsupported_query', 'retrieval_failure', 'tool_failure', 'routing_failure', 'generation_failure', 'citation_failure', 'invalid_output', 'partial_evidence'], lambda l: list_contains(found, l)), ',') AS categories,
+  list_extract(list_filter(['routing_failure', 'tool_failure', 'retrieval_failure', 'partial_evidence', 'generation_failure', 'citation_failure', 'invalid_output', 'unsupported_query', 'expected_abstention', 'success'], lambda l: list_contains(found, l)), 1) AS primary_label
+FROM f""")
+def failure_branches(spark, d):
+    """Every branch of the failure classifier, labels among the errors and the source kind included."""
+    out = traces.classify(_branch_runs(spark, d))
+    return out.select("event_id", F.array_join("categories", ",").alias("categories"), F.col("primary").alias("primary_label"))
+
+
+_DAMAGES = (
+    (1, '"schema_version":"6.1"', '"schema_version":"5"', (("$.schema_version", "const"),)), (2, '"latency":\\{', '"latencies":{', (("$", "required:latency"), ("$", "additionalProperties"))),
+    (3, '"input_tokens":\\d+', '"input_tokens":-1', (("$.generation.token_usage.input_tokens", "minimum"),)), (4, '"timestamp":null', '"timestamp":"yesterday"', (("$.timestamp", "format"),)),
+    (5, '"observed":(true|false|null)', '"observed":"no"', (("$.abstention.observed", "type"),)), (6, '"primary":("[a-z_]+"|null)', '"primary":"other"', (("$.failure_attribution.primary", "enum"), ("$.failure_attribution", "primary"))),
+    (7, '"primary":("[a-z_]+"|null),"categories":\\[[^\\]]*\\]', '"primary":"success","categories":["success","success"]', (("$.failure_attribution.categories", "uniqueItems"),)),
+    (8, '\\}$', "", (("$", "json"),)), (9, '"trace_id":"', '"trace_id":"bad id! ', (("$.trace_id", "pattern"),)),
+    (10, '"tools":\\[.*\\],"retrieval"', '"tools":[{},{}],"retrieval"', tuple(("$.tools[]", f"required:{f}") for f in "name status latency_seconds error evidence".split())),
+    (11, '"total_tokens":\\d+', '"total_tokens":1.5', (("$.generation.token_usage.total_tokens", "type"),)), (12, '"errors":', '"mistakes":', (("$.validation", "required:errors"),)),
+)
+_DAMAGE_ROWS = ", ".join(f"({m}, '{path}', '{rule}')" for m, _, _, broken in _DAMAGES for path, rule in broken)
+
+
+@_register(f"SELECT event_id, path, rule FROM events JOIN (VALUES {_DAMAGE_ROWS}) t(m, path, rule) ON event_id % 14 = m")
+def stored_trace_rules(spark, d):
+    """A whole public trace per event as stored JSON, most of them damaged in one way, against the trace schema."""
+    runs = _branch_runs(spark, d)
+    k, none = F.col("event_id"), F.lit(None).cast("string")
+    config = F.struct(
+        F.struct(F.lit("hybrid").alias("mode"), F.lit(5).alias("top_k"), F.lit("x").alias("private")).alias("retrieval"),
+        F.struct(F.lit("p").alias("provider"), F.lit("m").alias("model"), F.struct(F.lit(1).alias("seed"), F.lit("y").alias("host")).alias("provider_options")).alias("llm"))
+    evidence = F.array(F.struct(F.concat(F.lit("C"), k).alias("context_id"), F.lit("private").alias("text"), F.lit("https://www.sec.gov/a?b=1").alias("source_url")))
+    more = {
+        "query": F.lit("q"), "reviewed": none, "reason": F.lit("r"), "tools_selected": F.array(F.lit("document_retrieval")), "timestamp": none, "has_output": F.lit(True), "citations": F.array(F.lit("C1")), "config": config, "evidence": evidence,
+        "latencies": F.struct(*[(F.col("event_id") % 5).cast("double").alias(n) for n in ("retrieval", "generation", "recorded", "orchestration")]),
+        "usage": F.struct(k.cast("long").alias("input_tokens"), F.lit(2).cast("long").alias("output_tokens"), F.lit(None).cast("long").alias("total_tokens")),
+    }
+    # the event's number stands beside the trace, whose id is a hash
+    built = traces.unified_traces(runs.withColumns(more).withColumn("trace_id", F.concat(F.lit("e-"), k.cast("string"))))
+    text = F.col("trace")
+    m = F.regexp_extract("trace_id", r"(\d+)", 1).cast("long")
+    for at, pattern, new, _ in _DAMAGES:
+        text = F.when(m % 14 == at, F.regexp_replace(F.col("trace"), pattern, new)).otherwise(text)
+    return traces.stored_trace_violations(built.select(m.alias("event_id"), text.alias("trace")), "event_id", "trace")
+
+
+@_register("""
+WITH l AS (SELECT doc_id, i, l, CAST(coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+s AS (SELECT doc_id, string_agg('{"end_char":' || (a + length(l)) || ',"start_char":' || a || ',"text":' || to_json(l) || '}', ',' ORDER BY i) AS j FROM l GROUP BY doc_id)
+SELECT doc_id AS document_id, sha256('{"document_id":' || doc_id || ',"lang":' || to_json(lang) || ',"notes":{"characters":' || length(text) || ',"é":null},"sections":[' || j || '],"text":' || to_json(text) || '}') AS digest FROM documents JOIN s USING (doc_id)""")
+def parsed_document_digests(spark, d):
+    """Digests of whole parsed documents with nested sections and a map."""
+    docs = frames.documents(spark, d)
+    lines = F.split("text", "\n")
+    ends = F.transform(lines, lambda x, i: F.aggregate(F.slice(lines, 1, i + 1), F.lit(0), lambda s, y: s + F.length(y) + 1) - 1)
+    sections = F.zip_with(lines, ends, lambda x, e: F.struct(x.alias("text"), (e - F.length(x)).alias("start_char"), e.alias("end_char")))
+    notes = F.create_map(F.lit("é"), F.lit(None).cast("int"), F.lit("characters"), F.length("text"))
+    parsed = docs.select(F.col("doc_id").alias("document_id"), "lang", "text", sections.alias("sections"), notes.alias("notes"))
+    return parsed.select("document_id", row_digest(parsed).alias("digest"))
+
+
+@_register(f"""
+WITH {catalog._spans_sql()}, t AS (SELECT doc_id, length(text) AS n, text, doc_id % 12 AS m FROM documents WHERE length(text) >= 8),
+h AS (SELECT t.*, s.end_char AS e FROM span s JOIN t USING (doc_id) WHERE chunk_index = 0),
+r AS (
+  SELECT 'experiment' AS rule FROM h WHERE m = 1 UNION ALL SELECT 'chunk_id' FROM h WHERE m IN (1, 3, 4, 6) UNION ALL SELECT 'strategy' FROM h WHERE m = 2 UNION ALL SELECT 'parsed_document' FROM h WHERE m = 3
+  UNION ALL SELECT 'offsets' FROM h WHERE m = 4 UNION ALL SELECT 'slice' FROM h WHERE m = 4 AND e < n UNION ALL SELECT 'slice' FROM h WHERE m = 5 UNION ALL SELECT 'provenance:source' FROM h WHERE m = 7
+  UNION ALL SELECT 'sections' FROM h WHERE m = 8 AND n // 4 < e UNION ALL SELECT 'repeated_id' FROM h WHERE m = 9 UNION ALL SELECT 'uncovered_document' FROM h WHERE m = 10 UNION ALL SELECT 'unknown_document' FROM h WHERE m = 11
+  UNION ALL SELECT 'chunk_id' FROM h WHERE m = 11 UNION ALL SELECT 'uncovered_document' FROM (SELECT doc_id FROM span JOIN t USING (doc_id) WHERE m = 11 GROUP BY doc_id HAVING count(*) = 1) UNION ALL SELECT 'total_chunks')
+SELECT rule, count(*) AS chunks FROM r GROUP BY rule""")
+def chunk_validation(spark, d):
+    """Stored chunks of all documents against their manifest and parsed documents; the first chunk of a document is damaged by the document's number."""
+    docs = _sectioned(spark, d).drop("content")
+    made = chunking.chunk_documents(docs, frames.CHUNKS, ("source",))
+    manifest = chunking.manifest_of(made, docs.select("document_id", "text", "source", "sections"), frames.CHUNKS)
+    m, first, c = F.col("document_id") % 12, F.col("chunk_index") == 0, F.col
+    hit = lambda k: first & (m == k)
+    changed = made.where(m != 10).withColumns({
+        "experiment_id": F.when(hit(1), "x").otherwise(c("experiment_id")), "strategy": F.when(hit(2), "x").otherwise(c("strategy")), "parsed_document_sha256": F.when(hit(3), "x").otherwise(c("parsed_document_sha256")),
+        "start_char": F.when(hit(4), -1).otherwise(c("start_char")), "text": F.when(hit(5), F.concat(F.lit("☃"), F.expr("substring(text, 2)"))).otherwise(c("text")), "chunk_id": F.when(hit(6), F.concat(F.lit("bad"), _string("document_id"))).otherwise(c("chunk_id")),
+        "source": F.when(hit(7), "elsewhere").otherwise(c("source")), "sections": F.when(hit(8), F.slice("sections", 1, 0)).otherwise(c("sections")), "document_id": F.when(hit(11), -c("document_id") - 1).otherwise(c("document_id")),
+    })
+    twice = changed.where((c("document_id") >= 0) & (F.col("chunk_index") == 0) & (c("document_id") % 12 == 9))
+    return files.validate_chunks(changed.unionByName(twice), docs, manifest, ("source",)).groupBy("rule").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@_register("SELECT vec_id AS id, len(embedding) AS dims, 'first' AS made FROM embeddings WHERE vec_id % 10 <> 0 UNION ALL SELECT vec_id, len(embedding), 'again' FROM embeddings WHERE vec_id % 10 = 0")
+def vector_cache(spark, d):
+    """A vector cache that is filled, loses a tenth of its rows to damage and makes just those anew."""
+    root, name = _folder(spark, "cache"), f"vectors_{uuid.uuid4().hex[:12]}"
+    cache = CacheTable(spark, name, root, "array<float>", 8)
+    v = table(spark, d, "embeddings").select(dense.cache_key("m", "document", F.col("vec_id"), _string("vec_id")).alias("key"), F.col("vec_id").alias("id"), "embedding")
+    copy = lambda rows: rows.select("key", F.col("embedding").alias("value"))
+    cache.fill(v, copy)
+    lost = v.where("id % 10 = 0")
+    cache.forget(lost)
+    lost.select("key", F.col("embedding").alias("value"), F.lit(1).cast("long").alias("checksum"), F.lit(0.0).alias("made")).write.insertInto(name)  # rows whose checksum does not fit
+    spark.catalog.refreshTable(name)
+    again = cache.damaged().withColumn("again", F.lit("again"))
+    again = stored(again, "cache-damaged")
+    out, many = cache.fill(v, copy)
+    if many != again.count() or cache.fill(v, copy)[1]:
+        raise AssertionError("the cache computed other rows than the damaged ones")
+    return out.join(again, "key", "left").select("id", F.size("value").cast("long").alias("dims"), F.coalesce("again", F.lit("first")).alias("made"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

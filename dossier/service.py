@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.operators import lexical, router
+from dossier.operators import dense, lexical, postings, retrieval, router
 from dossier.sources.files import load_trace
 
 
@@ -79,9 +79,13 @@ class Settings:
 class Service:
     """Functions for a question-answering front end over one corpus (doc_id, text)."""
 
-    def __init__(self, spark: SparkSession, corpus: DataFrame, settings: Settings | None = None, trace_path: str | None = None):
+    def __init__(self, spark: SparkSession, corpus: DataFrame, settings: Settings | None = None, trace_path: str | None = None, vectors: DataFrame | None = None, encoder: dense.Encoder | None = None):
+        """Hybrid retrieval needs ``vectors`` (id, vector) of the corpus and the encoder that made them."""
         self.spark, self.settings, self.trace_path = spark, settings or Settings(), trace_path
-        self.tokens = lexical.document_tokens(corpus).persist()
+        if self.settings.retrieval_mode == "hybrid" and (vectors is None or encoder is None):
+            raise InvalidRequest("hybrid retrieval needs vectors and their encoder")
+        self.vectors, self.encoder = vectors, encoder
+        self.index = postings.build_index(corpus)
         self.corpus = corpus
         self._slots = threading.BoundedSemaphore(self.settings.max_concurrency)
         self._pool = ThreadPoolExecutor(self.settings.max_concurrency)
@@ -90,7 +94,7 @@ class Service:
         return {"status": "ok"}
 
     def ready(self) -> dict:
-        return {"ready": not self.tokens.isEmpty()}
+        return {"ready": self.index.n > 0, "retrieval_mode": self.settings.retrieval_mode}
 
     def bounded(self, work: Callable[[], object]):
         """Run ``work`` within the concurrency and time limits."""
@@ -122,9 +126,13 @@ class Service:
             raise InvalidRequest("k must be between 1 and 100")
 
         def work():
-            q = lexical.as_questions(self.spark.createDataFrame([(0, question)], "qid int, question string"), F.col("qid"), F.col("question"))
-            top = lexical.top_ranked(lexical.bm25_scores(self.tokens, q), self.tokens, q, k)
-            rows = top.join(self.corpus.withColumnRenamed("doc_id", "id"), "id").orderBy("rank").select(F.col("id").alias("doc_id"), "rank", "score", "text")
+            q = lexical.literal_question(self.spark, question)
+            asked = None
+            if self.settings.retrieval_mode == "hybrid":
+                asked = self.spark.createDataFrame([(0, self.encoder.encode([question], "query")[0].tolist())], "qid int, vector array<double>")
+            chunks = self.corpus.select(F.col("doc_id").alias("chunk_id"), "text")
+            found = retrieval.retrieve(self.settings.retrieval_mode, k, chunks, q, self.index, self.vectors, asked)
+            rows = found.orderBy("rank").select(F.col("chunk_id").alias("doc_id"), "rank", "score", "text")
             return [r.asDict() for r in rows.collect()]  # at most k rows
 
         return self.bounded(work)

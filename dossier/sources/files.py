@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from dossier.functions.canonical import row_digest
+from dossier.functions.ids import record_digest
+from dossier.sources import snapshots
+
 
 def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, length, content, sha256."""
@@ -65,10 +69,24 @@ def write_vectors(df: DataFrame, root: str, name: str) -> str:
 
 
 def retain_payloads(payloads: DataFrame, root: str) -> DataFrame:
-    """Write raw payloads (ticker, json) under their own hash before anything is derived from them; ticker, sha256."""
-    named = payloads.select("ticker", "json", F.sha2("json", 256).alias("sha256"))
-    named.write.mode("append").partitionBy("ticker", "sha256").option("compression", "gzip").text(root)
-    return named.select("ticker", "sha256")
+    """Keep raw payloads (ticker, json) under their own hash before anything is derived from them; ticker, sha256.
+
+    A payload that is there already is not written again.  Payloads are stored whole, as a column, and dealt
+    by the head of their hash.
+    """
+    spark = payloads.sparkSession
+    named = payloads.select("ticker", "json", F.sha2("json", 256).alias("sha256")).where("json is not null")
+    new = named.dropDuplicates(["ticker", "sha256"])
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        new = new.join(spark.read.parquet(root).select("ticker", "sha256"), ["ticker", "sha256"], "left_anti")
+    new.withColumn("head", F.substring("sha256", 1, 2)).repartition("head").write.mode("append").partitionBy("head").parquet(root)
+    return named.select("ticker", "sha256").distinct()
+
+
+def kept_payloads(spark: SparkSession, root: str) -> DataFrame:
+    """ticker, sha256, json of all retained payloads, and whether the text still has its hash."""
+    return spark.read.parquet(root).select("ticker", "sha256", "json", (F.sha2("json", 256) == F.col("sha256")).alias("whole"))
 
 
 def manifest_differences(found: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -83,13 +101,14 @@ def stale_ids(old: DataFrame, new: DataFrame, key: str = "trace_id") -> DataFram
     return old.select(key).distinct().join(new.select(key).distinct(), key, "left_anti")
 
 
-def save_traces(traces: DataFrame, path: str) -> None:
-    """Replace the stored traces, partitioned by source kind."""
-    traces.write.mode("overwrite").partitionBy("source_kind").parquet(path)
+def save_traces(traces: DataFrame, path: str) -> DataFrame:
+    """Replace the stored traces, partitioned by source kind, by a new version; the trace ids that went."""
+    return snapshots.replace(traces, path, "trace_id", ("source_kind",))[1]
 
 
 def load_trace(spark: SparkSession, path: str, trace_id: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("trace_id") == trace_id)
+    stored = snapshots.read(spark, path)
+    return spark.createDataFrame([], "trace_id string") if stored is None else stored.where(F.col("trace_id") == trace_id)
 
 
 def chunk_violations(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -105,3 +124,36 @@ def chunk_violations(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     twice = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_id", F.lit("repeated_id").alias("rule"))
     bare = documents.where(F.length("text") > 0).join(chunks.select("document_id").distinct(), "document_id", "left_anti")
     return own.unionByName(twice).unionByName(bare.select(F.col("document_id").cast("string").alias("chunk_id"), F.lit("uncovered_document").alias("rule")))
+
+
+def validate_chunks(chunks: DataFrame, documents: DataFrame, manifest: dict, provenance: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, rule: every stored chunk that does not fit its manifest and its parsed document.
+
+    ``chunks``: the columns of ``chunking.chunk_documents`` with parsed_document_sha256, version, experiment_id and
+    strategy; ``documents``: document_id, text and the columns that the digest covers; ``manifest``: version,
+    experiment_id, strategy, digest (names of those columns) and total_chunks.
+    """
+    parsed = documents.withColumn("parsed_now", row_digest(documents, *manifest["digest"]))
+    own = [c for c in ("sections",) if c in documents.columns]
+    d = parsed.select("document_id", F.col("text").alias("whole"), "parsed_now", *[F.col(c).alias(f"d_{c}") for c in (*provenance, *own)])
+    m = chunks.join(d, "document_id", "left")
+    c = F.col
+    known, start, end = c("whole").isNotNull(), c("start_char"), c("end_char")
+    identity = record_digest(
+        {k: c(k).cast("string") for k in ("version", "experiment_id", "parsed_document_sha256", "document_id")}, {k: c(k) for k in ("chunk_index", "start_char", "end_char")})
+    rules = {
+        "unknown_document": known, "experiment": (c("experiment_id") == manifest["experiment_id"]) & (c("version") == manifest["version"]), "strategy": c("strategy") == manifest["strategy"],
+        "parsed_document": ~known | (c("parsed_document_sha256") == c("parsed_now")), "offsets": ~known | ((start >= 0) & (start < end) & (end <= F.length("whole"))),
+        "slice": ~known | (F.substring(c("whole"), start + 1, end - start) == c("text")), "chunk_id": c("chunk_id") == identity,
+    }
+    rules |= {f"provenance:{p}": ~known | c(p).eqNullSafe(c(f"d_{p}")) for p in provenance}
+    if own and "sections" in chunks.columns:
+        met = F.transform(F.filter("d_sections", lambda s: (s["start_char"] < end) & (s["end_char"] > start)), lambda s: s["section_id"])
+        has = F.transform("sections", lambda s: s["section_id"])
+        rules["sections"] = ~known | (F.size(F.array_except(met, has)) + F.size(F.array_except(has, met)) == 0)
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules.items()]))
+    found = m.select("chunk_id", F.explode(broken).alias("rule"))
+    twice = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_id", F.lit("repeated_id").alias("rule"))
+    bare = documents.where(F.length("text") > 0).join(chunks.select("document_id").distinct(), "document_id", "left_anti").select(c("document_id").cast("string").alias("chunk_id"), F.lit("uncovered_document").alias("rule"))
+    count = chunks.agg(F.count(F.lit(1)).alias("n")).where(c("n") != manifest["total_chunks"]).select(F.lit("*").alias("chunk_id"), F.lit("total_chunks").alias("rule"))
+    return found.unionByName(twice).unionByName(bare).unionByName(count)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators import answers, benchmark, chunking, facts, grounding, html, router, sections, traces
+from dossier.operators import answers, benchmark, chunking, dense, facts, grounding, html, router, sections, traces
 from dossier.sources import files, filings
 from dossier.streaming import events
 
@@ -225,6 +225,12 @@ def test_service(spark):
     docs = spark.createDataFrame([(1, "apple pie"), (2, "cloud revenue"), (3, "apple revenue")], "doc_id int, text string")
     s = service.Service(spark, docs, service.Settings(top_k=2))
     assert s.ready()["ready"] and [r["doc_id"] for r in s.retrieve("apple revenue")] == [3, 1]
+    with pytest.raises(service.InvalidRequest):
+        service.Service(spark, docs, service.Settings("hybrid"))
+    encoder = dense.HashingEncoder(16)
+    vectors = dense.encode_texts(docs.select(F.col("doc_id").alias("id"), "text"), encoder).select("id", "vector")
+    h = service.Service(spark, docs, service.Settings("hybrid", top_k=3), vectors=vectors, encoder=encoder)
+    assert [r["doc_id"] for r in h.retrieve("apple revenue")][0] == 3 and len(h.retrieve("apple revenue")) == 3
     with pytest.raises(service.InvalidRequest):
         s.retrieve(" ")
     with pytest.raises(service.NotFound):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions.text import mask_tree
-from dossier.operators import chunking, dense, evidence, lexical, rerank, retrieval
+from dossier.operators import chunking, dense, evidence, lexical, postings, rerank, retrieval
 from dossier.sources import files
 from dossier.sources.stored import release, stored
 
@@ -82,7 +82,7 @@ def test_counted_overlaps_equal_token_f1(spark):
 
 def test_retrieval_modes_and_their_errors(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "old den"), (3, "red sun")], "doc_id long, text string")
-    t, q = lexical.document_tokens(docs), lexical.as_questions(spark.createDataFrame([(0, "red")], "qid int, t string"), F.col("qid"), F.col("t"))
+    t, q = postings.build_index(docs), lexical.as_questions(spark.createDataFrame([(0, "red")], "qid int, t string"), F.col("qid"), F.col("t"))
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.8])], "id long, vector array<double>")
     asked = spark.createDataFrame([(0, [0.0, 1.0])], "qid int, vector array<double>")
     chunks = docs.withColumnRenamed("doc_id", "chunk_id")
