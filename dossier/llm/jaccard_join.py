@@ -11,10 +11,10 @@ the set bits of the XOR never exceed the symmetric difference.  Pairs that pass
 are decided by intersecting the sorted shingle arrays.
 
 Copies collapse first: equal sets are one node.  Then few rounds compare a node with
-the seeded pivots of the tiles of its ``PIVOTS`` lowest shingles, other pivots each round
-and only while their groups differ, until a round joins almost nothing: a round
-makes at most ``PIVOTS`` pairs a node, most of them the same one inside a near-copy
-group, which grows together through few pairs.  Tiles afterwards compare only nodes of different groups, so a group's own
+the seeded pivot of one tile, another of its ``PIVOTS`` lowest shingles each round, those
+that the fewest nodes have first, and only while their groups differ, until a round
+joins almost nothing: a round makes at most one pair a node, and a near-copy group
+grows together through few pairs.  Tiles afterwards compare only nodes of different groups, so a group's own
 pairs are not emitted again; links between groups stay exact.  A tile of at most
 ``SMALL`` nodes names its pairs at once; larger ones are compared with their
 bitmaps, those above ``TILE_NODES`` in cells: pairs of blocks of one or two
@@ -38,7 +38,7 @@ Defined results
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm import textcore
@@ -51,7 +51,7 @@ SKETCH_BITS = 18
 SKETCH_PARTS = 16
 FILTER_BITS = 1 << 26
 SMALL = 6
-ROUNDS = 3
+ROUNDS = 4
 HOMES = 24
 TILE_NODES = 1024
 BLOCK_NODES = 1024
@@ -262,18 +262,20 @@ def _compatible(a, b):
 
 
 def _low_tiles(nodes: DataFrame) -> DataFrame:
-    """Durable (t, node, n): the lowest shingles that more than one node has."""
+    """Durable (t, node, n, place, many): the lowest shingles that more than one node has, numbered by node, rare ones first."""
     low = nodes.select("node", "n", F.explode("low").alias("t"))
-    several = low.groupBy("t").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("t")
-    return durable(low.join(several, "t").select("t", "node", "n"), "jaccard-low")
+    several = low.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = Window.partitionBy("node")  # at most PIVOTS rows
+    placed = low.join(several, "t").withColumn("place", F.row_number().over(own.orderBy("c", "t")) - 1).withColumn("many", F.count(F.lit(1)).over(own))
+    return durable(placed.select("t", "node", "n", "place", "many"), "jaccard-low")
 
 
 def _pivot_pairs(low: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
-    """Each node with the pivots of its tiles, other ones each turn, unless their groups agree."""
+    """Each node with the pivot of one of its tiles, another one each turn, unless their groups agree."""
     tiles = low.withColumn("g", F.col("node")) if groups is None else low.join(groups, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
     choice = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "g", "node", "n")
     pivot = tiles.groupBy("t").agg(F.min(choice).alias("p"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 < g1").select("t", "p")
-    met = tiles.join(pivot, "t").where((F.col("g") != F.col("p.g")) & _compatible(F.col("n"), F.col("p.n")))
+    met = tiles.where(F.lit(turn) % F.col("many") == F.col("place")).join(pivot, "t").where((F.col("g") != F.col("p.g")) & _compatible(F.col("n"), F.col("p.n")))
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from dossier.llm import license_scan, queries, token_align, vector_codes
+from dossier.llm import license_scan, mixing, quality, queries, token_align, vector_codes
 from tests.llm import corpus
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -220,3 +220,32 @@ def test_new_queries_over_given_tables(spark, sf):
     assert got == sorted(plain_alignment([(r.doc_id, r.text) for r in docs.collect()]), key=repr)
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, queries.op13_vector_codes(spark, sf).collect()), key=repr) == sorted(plain_codes(rows), key=repr)
+
+
+# ---- changed operators
+
+
+def test_mixes_agree_for_rows_of_one_id(spark):
+    rows = [(i // 8, f"w{i} " * (5 + i % 2), "s", {"k": i}) for i in range(80)] + [(None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,int>")
+    texts = [sorted(str(r.text) for r in mixing.apply_mix(docs.repartition(n, "text")).collect()) for n in (1, 3, 7)]
+    assert texts[0] == texts[1] == texts[2]
+
+
+def test_the_knapsack_table_is_bounded(monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_TABLE", 1 << 18)
+    lengths, counts, budget = [99_991, 100_003], [2000, 2000], 100_000_005
+    take = mixing.fit_counts(lengths, counts, budget, [0, 1])
+    have = sum(a * b for a, b in zip(lengths, take))
+    assert 0 <= budget - have <= 100_003 and all(0 <= t <= c for t, c in zip(take, counts))
+
+
+def test_one_row_of_a_labelled_id_reaches_the_fit(spark):
+    texts = ["good words here " * 8, "bad junk spam " * 8]
+    rows = [(i % 20, texts[i % 2] + str(i % 20), "s", "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    once = quality.score_documents(docs.dropDuplicates(["doc_id"]), labels).select("doc_id", "p_quality")
+    many = quality.score_documents(docs, labels).select("doc_id", "p_quality").distinct()
+    side = lambda df: {r.doc_id: r.p_quality >= 0.5 for r in df.collect()}
+    assert many.count() == 20 and side(once) == side(many) == {i: i % 2 == 0 for i in range(20)}
