@@ -245,7 +245,6 @@ def test_one_row_of_a_labelled_id_reaches_the_fit(spark):
     rows = [(i % 20, texts[i % 2] + str(i % 20), "s", "en") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
-    once = quality.score_documents(docs.dropDuplicates(["doc_id"]), labels).select("doc_id", "p_quality")
-    many = quality.score_documents(docs, labels).select("doc_id", "p_quality").distinct()
-    side = lambda df: {r.doc_id: r.p_quality >= 0.5 for r in df.collect()}
-    assert many.count() == 20 and side(once) == side(many) == {i: i % 2 == 0 for i in range(20)}
+    once, many = (quality._fit(d, labels, 100, quality.BINS) for d in (docs.dropDuplicates(["doc_id"]), docs))
+    for t in quality.TARGETS:
+        assert np.array_equal(once[t][0], many[t][0]) and once[t][1] == many[t][1]
