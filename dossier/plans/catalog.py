@@ -144,10 +144,9 @@ def tokenize_stats(spark, d):
 WITH {_BASE} SELECT token, df, CAST(sum(tf) AS BIGINT) AS occurrences, round(ln(1 + (any_value(n) - df + 0.5) / (df + 0.5)), 6) AS idf
 FROM post JOIN df USING (token), stat GROUP BY token, df ORDER BY df DESC, token LIMIT 50""")
 def posting_list_top_terms(spark, d):
-    index = frames.index(spark, d)
-    n = F.lit(index.n)
-    terms = index.blocks.select("token", "n", F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x).alias("tf"))
-    g = terms.groupBy("token").agg(F.sum("n").alias("df"), F.sum("tf").alias("occurrences")).orderBy(F.desc("df"), "token").limit(50)
+    docs = frames.documents(spark, d)
+    n = F.lit(docs.count())
+    g = lexical.postings(lexical.document_tokens(docs)).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences")).orderBy(F.desc("df"), "token").limit(50)
     return g.select("token", "df", "occurrences", F.round(F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
@@ -156,14 +155,29 @@ def bm25_top10(spark, d):
     return frames.bm25_top(spark, d, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
+@_register(f"WITH {_BASE}, {_bm25('bm25')} SELECT qid, id, score, rank FROM r_bm25 WHERE rank <= 10")
+def postings_top10(spark, d):
+    """The ten best documents of every item from the stored, pruned postings."""
+    return postings.top_k(frames.asked(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@_register(f"WITH {_BASE}, {_bm25('flat')}, {_GOLD} SELECT DISTINCT g.qid, r.id, r.rank FROM gold g JOIN r_flat r ON r.qid = g.qid AND r.id = g.document_id")
+def postings_places(spark, d):
+    """The place of every relevant document in the full ranking, from counts of the documents above it."""
+    gold = frames.evidence(spark, d).select("qid", F.col("document_id").alias("id"))
+    return postings.ranks(frames.asked(spark, d, "flat"), gold)
+
+
 @_register(f"""
 WITH {_BASE}, {_bm25('bm25')},
 pos AS (SELECT qid, count(*) AS n FROM s_bm25 WHERE score <> 0 GROUP BY qid)
 SELECT qid, coalesce(any_value(pos.n), 0) AS n_positive, bool_or(score = 0) AS zero_in_top
 FROM r_bm25 LEFT JOIN pos USING (qid) WHERE rank <= 10 GROUP BY qid""")
 def zero_score_diagnostics(spark, d):
-    a = frames.asked(spark, d)
-    return lexical.zero_score_diagnostics(postings.top_k(a, 10), postings.positive_counts(a))
+    ids = frames.documents(spark, d).select(F.col("doc_id").alias("id"))
+    s = frames.scores(spark, d, "bm25")
+    many = s.where("score <> 0").groupBy("qid").agg(F.count(F.lit(1)).alias("n_positive"))
+    return lexical.zero_score_diagnostics(lexical.top_ranked(s, ids, frames.questions(spark, d), 10), many)
 
 
 @_register("""
