@@ -163,6 +163,17 @@ def _classes(scan: DataFrame) -> np.ndarray:
     return np.where(over > 1, np.ceil(np.log2(np.maximum(over, 1))) + 1, 0).astype(np.int8)
 
 
+def _slot(name: str) -> str:
+    """SQL of the bit of a 64-bit id in the filters of FILTER_BITS bits."""
+    return f"pmod(xxhash64({name}), {FILTER_BITS})"
+
+
+def _filter_words(ids: DataFrame, name: str) -> DataFrame:
+    """(w, m): the words, of 64 bits each, of a bit filter over the ids; at most FILTER_BITS / 64 rows."""
+    slots = ids.select(F.expr(f"cast(shiftright({_slot(name)}, 6) as int)").alias("w"), F.expr(f"shiftleft(1L, cast({_slot(name)} % 64 as int))").alias("m"))
+    return slots.groupBy("w").agg(F.bit_or("m").alias("m"))
+
+
 def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Durable (node, s): sorted shingle arrays of the ``wanted`` (node, rep).
 
@@ -170,9 +181,7 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     of the hashing; it may let some through and the join then drops them.
     """
     spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    words = wanted.select((slot / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {FILTER_BITS}) % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    got = words.toArrow()  # at most 2^20 words
+    got = _filter_words(wanted, "rep").toArrow()  # at most 2^20 words
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[got["w"].to_numpy()] = got["m"].to_numpy()
     shared = spark.sparkContext.broadcast(table.view(np.uint64))
@@ -191,10 +200,12 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = textcore.shingle_sets(*textcore.words(data, offsets))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").slice(i, j - i), pa.array([_digest(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "made", "s"])
 
-    texts = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"))
+    texts = docs.where("doc_id is not null").select("doc_id", "text", F.expr(_slot("doc_id")).alias("slot"))
     made = texts.mapInArrow(arrays, "doc_id long, made long, s binary")
-    met = made.join(wanted, made.made == wanted.node).where("doc_id = rep").select("node", "s")
-    return durable(met.dropDuplicates(["node"]), "jaccard-arrays")  # on the join's own partitioning
+    # rep is the least doc_id of its node, so "at most rep" means rep; an equality would become a join key, and the
+    # rows then lie by both keys and move once more to drop the repeated ones
+    met = made.join(wanted, made.made == wanted.node).where("doc_id <= rep").select("node", "s")
+    return durable(met.dropDuplicates(["node"]), "jaccard-arrays")
 
 
 def _asked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
