@@ -209,15 +209,14 @@ def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _asked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Durable: the ``rows`` whose node a pair names, so that joins with few pairs do not move all rows.
+    """Durable: the ``rows`` whose node a pair names, and few others, so that joins with few pairs do not move all rows.
 
-    ``pairs`` must be stored; the ids are sent to the tasks only while their file is below the broadcast limit.
+    A bit filter of fixed size picks them where they lie; the joins that follow drop those it lets through.
+    ``pairs`` must be stored.
     """
-    one, other = (pairs.select(F.col(x).alias("node")).distinct() for x in ("a", "b"))  # combined before the shuffle
-    ids = durable(one.unionByName(other).distinct(), "jaccard-ids")
-    some = durable(rows.join(ids, "node", "left_semi"), "jaccard-asked")
-    release(ids)
-    return some
+    words = _filter_words(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")  # at most 2^20 rows of 12 bytes
+    met = rows.join(F.broadcast(words), F.expr(f"cast(shiftright({_slot('node')}, 6) as int)") == F.col("w"))
+    return durable(met.where(F.expr(f"getbit(m, cast({_slot('node')} % 64 as int)) = 1")).select(*rows.columns), "jaccard-asked")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
