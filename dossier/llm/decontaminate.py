@@ -4,10 +4,9 @@
    lower case).  The same pass counts, over all passages of ``PASSAGE`` words, in
    how many each of ``FEATURES`` hashed terms occurs.
 2. A randomised SVD of the TF-IDF passages gives the latent basis.  Each
-   partition adds its share of A'(A R) for a random R; one power step and a small
-   eigenproblem on the driver finish it.  ``FIT_PASSAGES`` bounds the passages
-   that fit the basis, which are written once (at most some 20 MB, so that few
-   partitions hold them); the term statistics use all passages.
+   partition adds its share of A'(A R) for a random R; a small eigenproblem on the
+   driver finishes it.  All passages fit the basis, in blocks of ``FIT_ROWS``; at
+   most ``FIT_PARTS`` tasks each send one sum of 1.3 MB.
 3. Every window of 2 x ``HALF`` words of every document is projected (sums of
    half windows, since the projection is linear) and compared by cosine with the
    benchmark items, the stated query set, in blocks of ``ITEM_BLOCK``.  Windows
@@ -40,8 +39,8 @@ FEATURES = 4096
 LATENT = 64
 PASSAGE = 64
 HALF = 16
-FIT_PASSAGES = 1 << 16
-FIT_PARTS = 8
+FIT_ROWS = 256
+FIT_PARTS = 64
 ITEM_BLOCK = 1024
 COSINE = 0.42
 LCS_SHARE = 0.7
@@ -105,59 +104,54 @@ def _term_counts(read: DataFrame) -> tuple[np.ndarray, int]:
     return (np.zeros((2, FEATURES), np.int64) if acc is None else acc.reshape(2, FEATURES)), passages
 
 
-def _fit_sample(read: DataFrame, passages: int) -> DataFrame:
-    """Durable passages (words) that fit the basis, about FIT_PASSAGES of all by a hash of their words."""
-    cut = np.uint64(min(1.0, FIT_PASSAGES / max(passages, 1)) * (2**64 - 1025))
+def _fit_basis(read: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Randomised SVD in one pass: (FEATURES x LATENT right vectors, singular values) of the TF-IDF passages of all ``read`` words."""
+    wide = LATENT + 16
+    probe = np.linalg.qr(np.random.default_rng(21).normal(size=(FEATURES, wide)))[0]
+    shared = read.sparkSession.sparkContext.broadcast((idf.astype(np.float32), probe.astype(np.float32)))
 
-    def pick(batches):
+    def part(batches):
         import pyarrow as pa
 
+        weights, r = shared.value
+        acc, share = np.zeros((FEATURES, wide), np.float64), np.empty((FEATURES, wide), np.float32)
+        rows = np.zeros((FIT_ROWS, FEATURES), np.float32)
         for batch in batches:
-            out = []
-            for raw in batch.column("words").to_pylist():
-                w = np.frombuffer(raw, np.uint32)
-                many = -(-len(w) // PASSAGE)
-                if many:
-                    name = np.add.reduceat(w.astype(np.uint64), np.arange(many) * PASSAGE)
-                    out += [w[k * PASSAGE : (k + 1) * PASSAGE].tobytes() for k in np.flatnonzero(textcore.mix(name) <= cut)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["words"])
-
-    return durable(read.where("words is not null").select("words").mapInArrow(pick, "words binary").repartition(FIT_PARTS), "decon-sample")
-
-
-def _fit_basis(sample: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Randomised SVD: (FEATURES x LATENT right vectors, singular values) of the TF-IDF passages."""
-    spark = sample.sparkSession
-    wide = LATENT + 16
-    probe = np.linalg.qr(np.random.default_rng(21).normal(size=(FEATURES, wide)))[0].astype(np.float32)
-
-    def multiply(basis: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((idf.astype(np.float32), basis.astype(np.float32)))
-
-        def part(batches):
-            import pyarrow as pa
-
-            weights, r = shared.value
-            acc = np.zeros((FEATURES, wide), np.float64)
-            for batch in batches:
-                for raw in batch.column("words").to_pylist():
-                    f, c = np.unique((np.frombuffer(raw, np.uint32) % FEATURES).astype(np.int64), return_counts=True)
-                    a = c * weights[f]
-                    norm = np.sqrt((a * a).sum())
-                    if norm:
-                        a = a / norm
-                        acc[f] += a[:, None] * (a @ r[f])[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array([acc.tobytes()], pa.binary())], names=["y"])
-
-        acc = textcore.summed(sample.coalesce(FIT_PARTS).mapInArrow(part, "y binary"), "y", np.float64, FIT_PARTS)
-        shared.unpersist()
-        return np.zeros((FEATURES, wide)) if acc is None else acc.reshape(FEATURES, wide)
-
-    basis = np.linalg.qr(multiply(probe))[0]
-    core = multiply(basis)
-    values, turn = np.linalg.eigh(basis.T @ core)
-    top = np.argsort(values)[::-1][:LATENT]
-    return basis @ turn[:, top], np.sqrt(np.maximum(values[top], 1e-9))
+            data, offsets = textcore.buffers(batch.column("words"))
+            w, bounds = data.view(np.uint32), offsets // 4
+            for i, j in textcore.pieces(bounds, FIT_ROWS * PASSAGE):
+                own = bounds[i : j + 1]
+                p, f, c = _distinct(_passages(own), (w[own[0] : own[-1]] % FEATURES).astype(np.int64))
+                if not len(p):
+                    continue
+                a = c * weights[f]
+                a = (a / np.maximum(np.sqrt(np.bincount(p, a * a)), 1e-30)[p]).astype(np.float32)
+                for n in range(0, int(p[-1]) + 1, FIT_ROWS):
+                    x, y = np.searchsorted(p, (n, n + FIT_ROWS))
+                    at, f_, a_ = p[x:y] - n, f[x:y], a[x:y]
+                    met = np.take(r, f_, axis=0)
+                    met *= a_[:, None]
+                    met = np.add.reduceat(met, np.flatnonzero(np.diff(at, prepend=-1)), axis=0)
+                    own_rows = rows[: len(met)]
+                    own_rows[at, f_] = a_
+                    acc += np.matmul(own_rows.T, met, out=share)
+                    own_rows[at, f_] = 0
+            del data, w
+            textcore.tidy()
+        yield pa.RecordBatch.from_arrays([pa.array([acc.astype(np.float32).tobytes()], pa.binary())], names=["y"])
+
+    corpus = read.where("words is not null").select("words").coalesce(FIT_PARTS)
+    acc = textcore.summed(corpus.mapInArrow(part, "y binary"), "y", np.float32, FIT_PARTS)
+    shared.unpersist()
+    return nystrom(np.zeros((FEATURES, wide)) if acc is None else acc.reshape(FEATURES, wide).astype(np.float64), probe)
+
+
+def nystrom(y: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(LATENT eigenvectors, square roots of their values) of the matrix whose product with ``probe`` is ``y``."""
+    core = probe.T @ y
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    left, size, _ = np.linalg.svd((y @ turn) / np.sqrt(np.maximum(values, 1e-5 * max(values[-1], 1e-9))), full_matrices=False)
+    return left[:, :LATENT], np.maximum(size[:LATENT], 1e-9)
 
 
 def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -266,15 +260,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     read, row = numbered(_read_words(docs), "decon-words")
     (df, cf), passages = _term_counts(read)
     idf = np.log((1 + passages) / (1 + df))
-    sample = _fit_sample(read, passages)
-    vectors, sigma = _fit_basis(sample, idf)
+    vectors, sigma = _fit_basis(read, idf)
     table = idf[:, None] * vectors / (sigma / sigma[0] + 1e-3)
     table = (table - (cf[:, None] * table).sum(axis=0) / max(cf.sum(), 1)).astype(np.float32)
     found = []
     for block in _item_blocks(benchmark):
         if block or not found:
             found.append(durable(_search(read, row, table, cf, block, spark), "decon-result"))
-    release(read, sample)
+    release(read)
     out = found[0]
     if len(found) > 1:
         for part in found[1:]:
