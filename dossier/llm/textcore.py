@@ -12,6 +12,8 @@ import math
 
 import numpy as np
 
+from dossier.functions.arrow import tidy
+
 U = np.uint64
 
 
@@ -158,20 +160,6 @@ def shingle_sets(h: np.ndarray, bounds: np.ndarray, k: int = 5) -> list[np.ndarr
     return out
 
 
-def tidy() -> None:
-    """Give a worker's freed memory back; workers outlive their tasks and share the executor's room."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def text_pieces(batches, column: str = "text", most: int = 1 << 19):
     """For every Arrow batch and run of documents: (batch, first row, last row + 1, bytes, offsets)."""
     for batch in batches:

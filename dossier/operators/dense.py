@@ -15,7 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.functions.arrow import small
+
 QUERY_BLOCK = 1024
+INDEX_ROWS = 512
 SCORE_DIGITS = 6
 
 
@@ -108,13 +111,14 @@ def cosine_top(index: DataFrame, queries: DataFrame, k: int, exclude_self: bool
         shared = index.sparkSession.sparkContext.broadcast((qids, unit_q))  # QUERY_BLOCK vectors at most
 
         def best(batches):
+            import pyarrow as pa
+
             names, q = shared.value
+            kind = {"int": pa.int32(), "string": pa.string()}.get(of_query, pa.int64())
             held = (np.zeros(0, np.int64), None, np.zeros(0))
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-                ids = pdf["id"].to_numpy()
+            for batch in small(batches, rows=INDEX_ROWS):
+                x = np.array(batch.column("vector").to_pylist(), np.float64)
+                ids = batch.column("id").to_numpy(zero_copy_only=False)
                 size = np.linalg.norm(x, axis=1)
                 if not np.isfinite(x).all() or (size == 0).any():
                     raise ValueError("index vectors must be finite and not zero")
@@ -128,10 +132,11 @@ def cosine_top(index: DataFrame, queries: DataFrame, k: int, exclude_self: bool
                 keep = best_rows(query, here, score, k)
                 held = (query[keep], here[keep], score[keep])
             if len(held[0]):
-                yield pd.DataFrame({"qid": names[held[0]], "id": held[1], "score": held[2]})
+                yield pa.RecordBatch.from_arrays([pa.array(names[held[0]], kind), pa.array(held[1], batch.column("id").type), pa.array(held[2])], names=["qid", "id", "score"])
 
-        return index.select("id", "vector").mapInPandas(best, f"qid {dict(queries.dtypes)['qid']}, id {dict(index.dtypes)['id']}, score double")
+        return index.select("id", "vector").mapInArrow(best, f"qid {dict(queries.dtypes)['qid']}, id {dict(index.dtypes)['id']}, score double")
 
+    of_query = dict(queries.dtypes)["qid"]
     part = None
     for qids, unit_q in _query_blocks(queries):
         found = search(qids, unit_q)
