@@ -877,7 +877,7 @@ SELECT rule, count(*) AS chunks FROM r GROUP BY rule""")
 def chunk_validation(spark, d):
     """Stored chunks of all documents against their manifest and parsed documents; the first chunk of a document is damaged by the document's number."""
     docs = _sectioned(spark, d).drop("content")
-    made = chunking.chunk_documents(docs, frames.CHUNKS, ("source",))
+    made = stored(chunking.chunk_documents(docs, frames.CHUNKS, ("source",)), "chunks")  # read by every rule below
     manifest = chunking.manifest_of(made, docs.select("document_id", "text", "source", "sections"), frames.CHUNKS)
     m, first, c = F.col("document_id") % 12, F.col("chunk_index") == 0, F.col
     hit = lambda k: first & (m == k)
