@@ -39,6 +39,8 @@ from dossier.llm.durable import durable
 
 BLOCK_BYTES = 2 << 20
 TOGETHER = 64
+#: Segments that are encoded or aligned at a time; what lies between texts and ids is held for so many.
+SEGMENTS = 1 << 13
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _BLOCKS = (
     "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
@@ -190,8 +192,8 @@ class SegmentPairs:
         new: dict = {}
         found[miss] = np.fromiter((kept + new.setdefault(keys[i], len(new)) for i in miss.tolist()), np.int64, len(miss))
         fresh = [k[0] if type(k) is tuple else " " + k for k in new]
-        for at in range(0, len(fresh), 100_000):
-            self._learn(fresh[at : at + 100_000])
+        for at in range(0, len(fresh), SEGMENTS):
+            self._learn(fresh[at : at + SEGMENTS])
         if kept < self.most:
             self.index.update((k, kept + v) for k, v in new.items())
             self.kept = (len(self.sound), self.a_ids.used, self.b_ids.used)
@@ -300,12 +302,13 @@ class SegmentPairs:
         local = np.zeros(len(times), np.int64)
         local[own] = np.arange(len(own))
         flat, times = local[flat], times[own]
-        got = self.aligned(own)
+        parts = [self.aligned(own[at : at + SEGMENTS]) for at in range(0, max(len(own), 1), SEGMENTS)]
+        names = list(chain.from_iterable(p.pop("texts") for p in parts))
+        got = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         sums = {}
         for k in ("n_a", "n_b", "n_groups", "n_links"):
             run = np.concatenate([[0], np.cumsum(got[k][flat])])
             sums[k] = run[ends] - run[ends - sizes]
-        names = got["texts"]
         shas = [hashlib.sha256("".join([names[k] for k in flat[e - n : e].tolist()])[:-1].encode()).hexdigest() if n else "" for e, n in zip(ends.tolist(), sizes.tolist())]
         pairs, where = np.unique(got["pair"], return_inverse=True)
         many = np.bincount(where, weights=np.repeat(times, got["n_links"]), minlength=len(pairs)).astype(np.int64)
@@ -351,6 +354,9 @@ def align_blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 kinds = [pa.int64(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(one, kinds)], names=[c.split(" ")[0] for c in _BLOCKS.split(", ")])
                 block += 1
+                del sums, shas, pairs, many, per_segment, where, sizes, flat, one
+                textcore.tidy()
+            del batch, names, column
             textcore.tidy()
 
     return durable(docs.select("doc_id", "text").mapInArrow(encode, _BLOCKS), "align-blocks")

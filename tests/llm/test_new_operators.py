@@ -140,6 +140,19 @@ def test_segments_beyond_the_memory_are_encoded_again():
         assert one[1] == two[1] and {k: v.tolist() for k, v in one[0].items()} == {k: v.tolist() for k, v in two[0].items()}
 
 
+def test_segments_are_encoded_and_aligned_in_small_groups(monkeypatch):
+    texts = ["".join(f"w{i * k % 97} x{i}  y\u2581{'z' * (i % 4)}\n" for i in range(40)) for k in range(1, 6)] + ["", None, " ", "plain text"]
+    whole = token_align.SegmentPairs(A, B).block(texts)
+    monkeypatch.setattr(token_align, "SEGMENTS", 7, raising=False)
+    c, sizes = token_align.SegmentPairs(A, B), []
+    learn, aligned = c._learn, c.aligned
+    monkeypatch.setattr(c, "_learn", lambda new: (sizes.append(len(new)), learn(new))[1])
+    monkeypatch.setattr(c, "aligned", lambda own: (sizes.append(len(own)), aligned(own))[1])
+    for a, b in zip(c.block(texts), whole):
+        assert a.keys() == b.keys() and all(map(np.array_equal, a.values(), b.values())) if isinstance(a, dict) else np.array_equal(a, b)
+    assert len(sizes) > 2 and max(sizes) <= 7
+
+
 def test_bitset_rank_and_select():
     r = random.Random(1)
     for size in (1, 63, 64, 65, 1000):
