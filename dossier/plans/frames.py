@@ -100,14 +100,15 @@ def dense_top(spark: SparkSession, d: str, k: int = DEPTH) -> DataFrame:
 def ranked(spark: SparkSession, d: str, gold: DataFrame, k: int = DEPTH) -> DataFrame:
     """system, qid, chunk_id, rank <= k for both settings and their fusion, plus the full-ranking places of relevant documents."""
     t, ids = tokens(spark, d), documents(spark, d).select(F.col("doc_id").alias("id"))
-    q = questions(spark, d)
+    q = stored(questions(spark, d), "asked")
+    figures = lexical.term_figures(t, q)
     tops, out = [], None
     rel = gold.select("qid", F.col("document_id").alias("id")).distinct()
     for name in SYSTEMS:
-        s = scores(spark, d, name, t)
-        top = lexical.top_ranked(s, ids, q, k)
+        best = stored(lexical.bm25_scores(t, q, *SYSTEMS[name], k, figures=figures), "scores")
+        top = stored(lexical.top_ranked(best, ids, q, k), "top")
         tops.append(top)
-        far = lexical.rank_within(s, ids, rel).where(F.col("rank") > k)
+        far = lexical.bm25_ranks(t, q, ids, rel, *SYSTEMS[name], figures).where(F.col("rank") > k)
         part = top.select("qid", "id", F.col("rank").cast("long")).unionByName(far).withColumn("system", F.lit(name))
         out = part if out is None else out.unionByName(part)
     both = lexical.fuse_rankings(tops, 60.0, k).select("qid", "id", F.col("rank").cast("long"), F.lit("rrf").alias("system"))

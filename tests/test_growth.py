@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.arrow import small
 from dossier.operators import chunking, dense, html, lexical, postings
+from dossier.plans import frames
 
 
 def test_pieces_hold_all_rows_in_order():
@@ -61,3 +62,27 @@ def test_places_make_no_row_for_a_document_and_a_pair(spark, monkeypatch):
         placed = lexical.rank_within(scores, ids, wanted)
         assert {(x.qid, x.id): x.rank for x in placed.collect()} == {(x.qid, x.id): full[x.qid, x.id] for x in wanted.collect()}
         assert "MapInArrow" in placed._jdf.queryExecution().optimizedPlan().toString()  # not a join of scores and pairs
+
+
+def test_no_scores_but_the_best_and_the_wanted_are_written(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 23}" for j in range(1, 9))) for i in range(300)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(q, f"w{q} w{q + 5} w3") for q in range(7)], "item_id long, text string")
+    tables = {"documents": docs, "benchmark": bench}
+    monkeypatch.setattr(frames, "table", lambda spark, d, name: tables[name])
+    asked, tokens, ids = frames.questions(spark, ""), frames.tokens(spark, ""), docs.select(F.col("doc_id").alias("id"))
+    gold = spark.createDataFrame([(q, i) for q in range(7) for i in range(q, 300, 17)], "qid long, document_id long")
+    written = {}
+
+    def stored(df, name):
+        out = keep(df, name)
+        written[name] = max(out.count(), written.get(name, 0))
+        return out
+
+    keep = frames.stored
+    monkeypatch.setattr(frames, "stored", stored)
+    got = {(r.system, r.qid, int(r.chunk_id)): r["rank"] for r in frames.ranked(spark, "", gold, 4).where("system <> 'rrf'").collect()}
+    assert written["scores"] <= 3 * 4 * 7  # at most the best of each task, not every document and question
+    wanted = {(r.qid, r.document_id) for r in gold.collect()}
+    for name, (k1, b) in frames.SYSTEMS.items():
+        full = {(r.qid, r.id): r["rank"] for r in lexical.full_ranking(lexical.bm25_scores(tokens, asked, k1, b), ids, asked).collect()}
+        assert {k[1:]: r for k, r in got.items() if k[0] == name} == {k: r for k, r in full.items() if r <= 4 or k in wanted}
