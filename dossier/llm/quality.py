@@ -8,9 +8,10 @@ the global rate, each by a strength estimated from the spread between groups,
 so sparse sites stay near the prior.  A document's log odds are its evidence
 plus its path's posterior log odds minus the global ones.
 
-``FIT_ROWS`` bounds the labelled rows that fit the regression (those with the
-smallest seeded hash of doc_id); label rates use all labels, and every document
-is scored over its whole text.
+All labelled rows fit the regression: its terms come from counts over all of
+them, and shards of about ``FIT_ROWS`` rows, dealt by a seeded hash of doc_id, fit
+a model each, whose parameters are averaged by rows.  Label rates use all labels,
+and every document is scored over its whole text.
 
 Defined results
 * null text: no evidence, so the site posterior decides; null host or path: a site of its own
@@ -40,6 +41,8 @@ TOXIC_LIMIT = 0.2
 _RARE_SITE = 1e6
 #: Site rates are sent to the tasks up to this many sites, a few MB.
 MOST_SITES_SENT = 20_000
+#: Labels are sent to the tasks up to this many labelled documents, some tens of MB.
+MOST_LABELS_SENT = 1_000_000
 
 
 _STEPS = np.array([0.0, 0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7])
@@ -92,16 +95,17 @@ def choose_terms(feats: np.ndarray, rows: np.ndarray, y: np.ndarray, bins: int)
     return top[chi2[top] >= CHI2]
 
 
-def fit_logistic(feats: np.ndarray, first: np.ndarray, y: np.ndarray, bins: int = BINS, epochs: int = 400, l2: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights (zero outside the chosen terms) and intercept, by AdaGrad on full batches of term presence."""
+def fit_logistic(feats: np.ndarray, first: np.ndarray, y: np.ndarray, bins: int = BINS, epochs: int = 400, l2: float = 1e-5, terms: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights (zero outside the chosen terms, those of ``terms`` where given) and intercept, by AdaGrad on full batches of term presence."""
     rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(first))
-    terms = choose_terms(feats, rows, y, bins)
+    terms = choose_terms(feats, rows, y, bins) if terms is None else terms
     place = np.full(bins, -1, np.int32)
     place[terms] = np.arange(len(terms))
     at = place[feats]
     rows, at = rows[at >= 0], at[at >= 0]
     w, g2 = np.zeros(len(terms)), np.full(len(terms), 1e-8)
-    b, gb = float(np.log(y.mean() / (1 - y.mean()))), 1e-8
+    rate = min(max(y.mean(), 0.5 / len(y)), 1 - 0.5 / len(y))  # a shard may hold one class only
+    b, gb = float(np.log(rate / (1 - rate))), 1e-8
     for _ in range(epochs):
         z = np.bincount(rows, weights=w[at], minlength=len(y)) + b
         d = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
@@ -157,10 +161,46 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
+def _term_chi2(n: int, pos: int, with_pos: str) -> Column:
+    """Chi-square of the presence of a term (here rows, ``with_pos`` of them positive) against a target."""
+    a, b = F.col(with_pos).cast("double"), (F.col("here") - F.col(with_pos)).cast("double")
+    c, d = F.lit(float(pos)) - a, F.lit(float(n - pos)) - b
+    return F.lit(float(n)) * F.pow(a * d - b * c, 2) / F.greatest((a + b) * (c + d) * (a + c) * (b + d), F.lit(1e-9))
+
+
+def _chosen_terms(found: DataFrame, n: int, pos: dict, bins: int) -> dict:
+    """Bins by target whose presence depends on the label over all ``found`` rows: at most MOST_TERMS each, by chi-square."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        tally = np.zeros((1 + len(TARGETS), bins), np.int32)
+        for batch in batches:
+            data, offsets = textcore.buffers(batch.column("f"))
+            feats, size = data.view(np.int32), np.diff(offsets) // 4
+            tally[0] += np.bincount(feats, minlength=bins).astype(np.int32)
+            for k, t in enumerate(TARGETS, 1):
+                tally[k] += np.bincount(feats[np.repeat(batch.column(t).to_numpy() > 0, size)], minlength=bins).astype(np.int32)
+        at = np.flatnonzero(tally[0])
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x[part].astype(np.int64)) for x in tally)], names=["bin", "here", *TARGETS])
+
+    counts = found.select("f", *TARGETS).mapInArrow(count, "bin long, here long, " + ", ".join(f"{t} long" for t in TARGETS))
+    counts = durable(counts.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("here", *TARGETS)]), "quality-terms")  # at most ``bins`` rows
+    out = {}
+    for t in TARGETS:
+        best = counts.select("bin", _term_chi2(n, pos[t], t).alias("chi2")).where(F.col("chi2") >= CHI2)
+        out[t] = np.array([r.bin for r in best.orderBy(F.desc("chi2"), "bin").limit(MOST_TERMS).collect()], np.int64)
+    release(counts)
+    return out
+
+
 def _fit(docs: DataFrame, labels: DataFrame, fit_rows: int, bins: int):
     chosen = labels.where("quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(fit_rows)
-    sample = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "doc_id")
+    if chosen.count() <= MOST_LABELS_SENT:  # else a shuffled join
+        chosen = F.broadcast(chosen)
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(chosen, "doc_id")
 
     def extract(batches):
         import pyarrow as pa
@@ -173,20 +213,53 @@ def _fit(docs: DataFrame, labels: DataFrame, fit_rows: int, bins: int):
                 names=["doc_id", "quality", "toxic", "f", "h"],
             )
 
-    found = sample.mapInArrow(extract, "doc_id long, quality int, toxic int, f binary, h long")
-    one = F.min(F.struct("h", "quality", "toxic", "f")).alias("least")  # of the rows of one id; fit_rows ids at most
-    rows = found.groupBy("doc_id").agg(one).select("doc_id", "least.quality", "least.toxic", "least.f").toArrow().sort_by("doc_id")
-    if not rows.num_rows:
+    found = own.mapInArrow(extract, "doc_id long, quality int, toxic int, f binary, h long")
+    one = F.min(F.struct("h", "quality", "toxic", "f")).alias("least")  # of the rows of one id
+    found = durable(found.groupBy("doc_id").agg(one).select("doc_id", "least.quality", "least.toxic", "least.f"), "quality-fit")
+    sums = found.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(t) > 0).alias(t) for t in TARGETS]).first()
+    if not sums.n:
+        release(found)
         return None
-    each = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["f"]]
-    feats, first = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
-    models = {}
-    for target in TARGETS:
-        y = (rows[target].to_numpy() > 0).astype(float)
-        w, b = fit_logistic(feats, first, y, bins) if 0 < y.mean() < 1 else (np.zeros(bins), 4.0 if y.mean() else -4.0)
-        models[target] = w.astype(np.float32), float(b)
-    del rows, each, feats
-    textcore.tidy()
+    terms = _chosen_terms(found, sums.n, sums.asDict(), bins)
+    shards = -(-sums.n // fit_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def narrow(batches):
+        import pyarrow as pa
+
+        known = np.zeros(bins, bool)
+        for t in TARGETS:
+            known[shared.value[t]] = True
+        for batch in batches:
+            data, offsets = textcore.buffers(batch.column("f"))
+            feats, first = data.view(np.int32), offsets // 4
+            parts = [feats[a:b][known[feats[a:b]]].tobytes() for a, b in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), *(batch.column(t) for t in TARGETS), pa.array(parts, pa.binary())], names=["shard", "doc_id", *TARGETS, "f"])
+
+    def fit(rows):
+        import pyarrow as pa
+
+        rows = rows.sort_by("doc_id")
+        each = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["f"]]
+        feats, first = np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        out = []
+        for t in TARGETS:
+            w, b = fit_logistic(feats, first, (rows[t].to_numpy() > 0).astype(float), bins, terms=shared.value[t])
+            out += [w[shared.value[t]], [b]]
+        return pa.table({"w": pa.array([(np.concatenate(out) * len(each)).tobytes()], pa.binary())})
+
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)))
+    fitted = durable(dealt.select("shard", "doc_id", *TARGETS, "f").mapInArrow(narrow, "shard long, doc_id long, quality int, toxic int, f binary").groupBy("shard").applyInArrow(fit, "w binary"), "quality-models")
+    mean, at, models = textcore.summed(fitted, "w", np.float64, fitted.count()) / sums.n, 0, {}
+    for t in TARGETS:
+        w, size = np.zeros(bins), len(terms[t])
+        w[terms[t]], b = mean[at : at + size], mean[at + size]
+        at += size + 1
+        if not 0 < sums[t] < sums.n:
+            w, b = np.zeros(bins), 4.0 if sums[t] else -4.0
+        models[t] = w.astype(np.float32), float(b)
+    release(found, fitted)
+    shared.unpersist()
     return models
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 
 from dossier.llm import decontaminate as d
+from dossier.llm import quality
 from tests.llm import corpus
 
 
@@ -32,3 +33,19 @@ def test_basis_fits_all_passages(spark, monkeypatch):
     assert vectors.shape == (d.FEATURES, d.LATENT)
     assert np.allclose(sigma**2, size[: d.LATENT], rtol=1e-3, atol=1e-3)
     assert np.allclose((vectors * sigma**2) @ vectors.T, (left[:, : d.LATENT] * size[: d.LATENT]) @ left[:, : d.LATENT].T, atol=1e-2)
+
+
+def test_quality_fits_all_labelled_rows(spark):
+    rows = [(i, f"{'good words' if i % 2 else 'junk spam'} here {'rare' if i >= 150 and i % 2 else ''} t{i % 7} " * 3, "s", "en") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = quality.fit_logistic
+    raw = [np.frombuffer(r[1].encode(), np.uint8) for r in rows]
+    feats, first = quality._features(np.concatenate(raw), np.cumsum([0, *map(len, raw)]), quality.BINS)
+    y = np.array([i % 2 for i in range(200)], float)
+    whole, b = fit(feats, first, y)
+    got = quality._fit(docs, labels, 500, quality.BINS)["quality"]
+    assert np.allclose(got[0], whole, atol=1e-6) and abs(got[1] - b) < 1e-6
+    parts = quality._fit(docs, labels, 20, quality.BINS)["quality"]  # ten shards; rare words of any row choose terms
+    assert set(np.flatnonzero(parts[0])) == set(np.flatnonzero(whole)) and np.all(np.sign(parts[0]) == np.sign(got[0]))
