@@ -843,10 +843,10 @@ def stored_trace_rules(spark, d):
     # the event's number stands beside the trace, whose id is a hash
     built = traces.unified_traces(runs.withColumns(more).withColumn("trace_id", F.concat(F.lit("e-"), k.cast("string"))))
     text = F.col("trace")
-    m = F.regexp_extract("trace_id", r"(\d+)", 1).cast("long")
+    numbered = built.select(F.regexp_extract("trace_id", r"(\d+)", 1).cast("long").alias("event_id"), "trace")
     for at, pattern, new, _ in _DAMAGES:
-        text = F.when(m % 14 == at, F.regexp_replace(F.col("trace"), pattern, new)).otherwise(text)
-    return traces.stored_trace_violations(built.select(m.alias("event_id"), text.alias("trace")), "event_id", "trace")
+        text = F.when(F.col("event_id") % 14 == at, F.regexp_replace(F.col("trace"), pattern, new)).otherwise(text)
+    return traces.stored_trace_violations(numbered.select("event_id", text.alias("trace")), "event_id", "trace")
 
 
 @_register("""
