@@ -58,7 +58,8 @@ def retrieval_tokens(text: Column, folded: bool = False) -> Column:
     plain = F.coalesce(text, F.lit(""))
     if not folded:
         plain = F.replace(F.lower(plain), F.lit("ß"), F.lit("ss"))
-    found = F.regexp_extract_all(F.translate(plain, "’‐‑", "'--"), F.lit(f"({RETRIEVAL_TOKEN})"), F.lit(1))
+    signs = F.contains(plain, F.lit("’")) | F.contains(plain, F.lit("‐")) | F.contains(plain, F.lit("‑"))
+    found = F.regexp_extract_all(F.when(signs, F.translate(plain, "’‐‑", "'--")).otherwise(plain), F.lit(RETRIEVAL_TOKEN), F.lit(0))
     return F.transform(found, lambda t: F.replace(t, F.lit(","), F.lit("")))  # only numbers hold commas
 
 

@@ -25,6 +25,22 @@ def test_passages_meet_by_word_keys_as_by_search(spark):
     assert {(g.qid, g.document_id, g.start_char, g.text) for g in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("block", [1, 1 << 22])
+def test_long_passages_meet_by_bytes_of_their_middle(spark, monkeypatch, block):
+    monkeypatch.setattr(evidence, "PASSAGE_BLOCK", block, raising=False)
+    r = random.Random(7)
+    word = lambda: r.choice(["Ärger", "über", "the", "den", "日本", "😀", "of", "x", "\n", " " * 30])
+    passages = [(i, "".join(word() + " " for _ in range(r.randint(4, 14)))) for i in range(12)]
+    passages += [(20, passages[0][1]), (21, passages[0][1][:-1] + "?"), (22, " " * 40), (None, passages[1][1]), (23, None), (24, "a" * 23), (25, "a" * 24)]
+    docs = [(i, "".join(word() + " " for _ in range(r.randint(0, 30))) + r.choice(["", r.choice(passages[:12])[1] * 2]) + word()) for i in range(120)]
+    docs += [(900, None), (901, ""), (902, passages[2][1]), (903, passages[2][1][:-1]), (904, passages[2][1][1:]), (905, "b" + "a" * 23), (906, "a" * 30), (907, passages[3][1][:9]), (908, passages[3][1][9:])]
+    got = evidence.find_passages(spark.createDataFrame(docs, "document_id long, text string").repartition(3), spark.createDataFrame(passages, "qid int, passage string"))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row for each word of a text
+    got = got.collect()
+    want = {(q, i, t.index(p), t.index(p) + len(p), p) for q, p in passages if None not in (q, p) for i, t in docs if t is not None and p in t}
+    assert {tuple(g) for g in got} == want and len(got) == len(want) > 60
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_counted_places_equal_the_full_ranking(spark, monkeypatch, kind):
     monkeypatch.setattr(lexical, "STRETCHES", 7)
